@@ -1,11 +1,15 @@
 """The queries of this subpackage, and the SQL that some of them equal."""
 
-from lectern.llm import mixing, sharding
+from lectern.llm import mixing, sharding, topk, warc
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
+    "op6_chunked_warc": warc.op6_chunked_warc,
+    "op7_kd_tree_topk": topk.op7_kd_tree_topk,
     "op10_water_filling": mixing.op10_water_filling,
 }
 ORACLE_SQL = {
+    "op6_chunked_warc": warc.SQL,
+    "op7_kd_tree_topk": topk.SQL,
     "op10_water_filling": mixing.SQL,
 }
