@@ -1,11 +1,13 @@
 """The queries of this subpackage, and the SQL that some of them equal."""
 
-from lectern.llm import mixing, sharding, topk, warc
+from lectern.llm import media, mixing, pieces, sharding, topk, warc
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op6_chunked_warc": warc.op6_chunked_warc,
     "op7_kd_tree_topk": topk.op7_kd_tree_topk,
+    "op9_audio_features": media.op9_audio_features,
     "op10_water_filling": mixing.op10_water_filling,
 }
 ORACLE_SQL = {
