@@ -1,10 +1,11 @@
 """The queries of this subpackage, and the SQL that some of them equal."""
 
-from lectern.llm import language, lines, media, mixing, pieces, sharding, topk, warc
+from lectern.llm import language, lines, media, mixing, pieces, sharding, simhash, topk, warc
 
 QUERIES = {
     "op1_histogram_sort": sharding.op1_histogram_sort,
     "op3_sentencepiece": pieces.op3_sentencepiece,
+    "op4_pivot_simhash": simhash.op4_pivot_simhash,
     "op5_line_chunks": lines.op5_line_chunks,
     "op6_chunked_warc": warc.op6_chunked_warc,
     "op7_kd_tree_topk": topk.op7_kd_tree_topk,
