@@ -203,7 +203,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [np.frombuffer(w.as_buffer(), np.uint64) for w in t["words"]]
         flags = subtree_flags(t["doc_id"].to_numpy(), t["prefix"].to_numpy(), words)
         some = [i for i, f in enumerate(flags) if len(f)]
-        picked = t.select(list(SEGMENT)).take(some).combine_chunks()
+        picked = t.select(list(SEGMENT)).take(pa.array(some, pa.int64())).combine_chunks()
         return pa.RecordBatch.from_arrays([*(picked[c].combine_chunks() for c in SEGMENT), pa.array([flags[i] for i in some], pa.list_(pa.int32()))], schema=FLAGGED)
 
     held = FETCHED.empty_table()
@@ -264,12 +264,12 @@ def covered(docs: DataFrame) -> DataFrame:
     return whole.unionByName(some.select("doc_id", "t", (F.col("start") + F.col("at")).alias("first"), (F.col("start") + F.col("at") + LENGTH).alias("last")))
 
 
-def _kept(names: list[str], made: int, keep: bool):
+def _kept(whole_text: str, covering: str, names: list[str], keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch, out = whole.slice(start, 256), []
-                for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+                for text, spans in zip(batch.column(whole_text), batch.column(covering).to_pylist(), strict=True):
                     words = (text.as_py() or "").encode().split()
                     n, kept = len(words), words
                     if spans:
@@ -280,7 +280,7 @@ def _kept(names: list[str], made: int, keep: bool):
                     joined = b" ".join(kept)
                     row = n, n - len(kept), hashlib.sha256(joined).hexdigest()
                     out.append((*row, joined.decode()) if keep else row)
-                rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("text", "spans")]
+                rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (whole_text, covering)]
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([*rest, *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=False))], names=names)
 
@@ -292,15 +292,15 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", k
     made = ["n_words", "n_removed", "kept_sha256", *["kept"] * keep]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
     rest = [c for c in docs.columns if c != text]
-    (t,) = fresh([*docs.columns, "spans", "text"], "t")
+    t, d, dt, spans_, whole = fresh(docs.columns, "t", "d", "dt", "spans", "whole_text")
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    spans = covered(own).groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = covered(own).groupBy(F.col("doc_id").alias(d), F.col("t").alias(dt)).agg(F.collect_list(F.struct("first", "last")).alias(spans_))
     keyed = docs.withColumn(t, F.xxhash64(text))
-    met = keyed.join(spans, (F.col(key).cast("long") == F.col("d")) & (F.col(t) == F.col("dt")), "left")
-    met = met.select(*[F.col(c) for c in rest], F.col(text).alias("text"), "spans")
+    met = keyed.join(spans, (F.col(key).cast("long") == F.col(d)) & (F.col(t) == F.col(dt)), "left")
+    met = met.select(*rest, F.col(text).alias(whole), spans_)
     kinds = {"n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string", "kept": "string"}
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), *(f"{c} {kinds[c]}" for c in made)])
-    return met.mapInArrow(_kept([*rest, *made], len(made), keep), schema)
+    return met.mapInArrow(_kept(whole, spans_, [*rest, *made], keep), schema)
 
 
 def op2_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
