@@ -15,6 +15,8 @@ whose bytes differ from the first one's stays; when all lines go the text is emp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,49 +26,58 @@ WINDOW, BASE, DIVISOR = 2, 31, 3
 LEAST_LINES = 2
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.col(text), "\n", -1)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often and deep inside the body names it.
+
+    A column of a projection below would not do: the optimizer may move its expression up into a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
+def with_chunks(text: str, body: Callable[[Column, Column], Column]) -> Column:
+    """body(lines, chunks) of a text; chunks is an array of (no, first, n), counted from 1."""
+    def hashes(lines: Column) -> Column:
+        return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
 
-def chunked(df: DataFrame, text: str, lines: str, chunks: str) -> DataFrame:
-    """df with its lines and chunks: an array of (no, first, n), counted from 1."""
-    hashes, ends = fresh([*df.columns, lines, chunks], "line_hashes", "chunk_ends")
-    df = df.withColumn(lines, _lines(text))
-    df = df.withColumn(hashes, F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long")))
+    def ends(h: Column) -> Column:
+        def rolled(i: Column) -> Column:
+            return sum((F.coalesce(F.get(h, i - 1 - j), F.lit(0)) * BASE**j for j in range(1, WINDOW)), F.get(h, i - 1))
 
-    def rolled(i: Column) -> Column:
-        return sum((F.coalesce(F.get(hashes, i - 1 - j), F.lit(0)) * BASE**j for j in range(1, WINDOW)), F.get(hashes, i - 1))
+        return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == F.size(h)) | (F.pmod(rolled(i), F.lit(DIVISOR)) == 0))
 
-    n = F.size(lines)
-    df = df.withColumn(ends, F.filter(F.sequence(F.lit(1), n), lambda i: (i == F.size(hashes)) | (F.pmod(rolled(i), F.lit(DIVISOR)) == 0)))
+    def chunks(e: Column) -> Column:
+        def chunk(end: Column, k: Column) -> Column:
+            before = F.coalesce(F.get(e, k - 1), F.lit(0))
+            return F.struct((k + 1).alias("no"), (before + 1).alias("first"), (end - before).alias("n"))
 
-    def chunk(e: Column, k: Column) -> Column:
-        before = F.coalesce(F.get(ends, k - 1), F.lit(0))
-        return F.struct((k + 1).alias("no"), (before + 1).alias("first"), (e - before).alias("n"))
+        return F.transform(e, chunk)
 
-    return df.withColumn(chunks, F.transform(ends, chunk)).drop(hashes, ends)
+    return let(F.split(F.col(text), "\n", -1), lambda lines: let(hashes(lines), lambda h: let(ends(h), lambda e: let(chunks(e), lambda c: body(lines, c)))))
 
 
-def _joined(lines: Column | str, c: Column) -> Column:
+def _joined(lines: Column, c: Column) -> Column:
     return F.array_join(F.slice(lines, c["first"], c["n"]), "\n")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with repeated chunks gone from the text, and n_lines, n_removed (lines; of a null text 0)."""
-    n_lines, n_removed, t, lines, chunks, gone, d, kt = fresh(docs.columns, "n_lines", "n_removed", "t", "lines", "chunks", "gone", "d", "kt")
+    n_lines, n_removed, t, made, gone, d, kt = fresh(docs.columns, "n_lines", "n_removed", "t", "made", "gone", "d", "kt")
     own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    many = F.filter("chunks", lambda c: c["n"] >= LEAST_LINES)
-    with_hash = F.transform(many, lambda c: F.struct(c["no"].alias("no"), F.xxhash64(_joined("lines", c)).alias("h")))
-    places = staged(chunked(own, "text", "lines", "chunks").select("d", "t", F.explode(with_hash).alias("c")).select("d", "t", "c.no", "c.h"), "line-chunks")
+
+    def hashed(lines: Column, chunks: Column) -> Column:
+        return F.transform(F.filter(chunks, lambda c: c["n"] >= LEAST_LINES), lambda c: F.struct(c["no"].alias("no"), F.xxhash64(_joined(lines, c)).alias("h")))
+
+    places = staged(own.select("d", "t", F.explode(with_chunks("text", hashed)).alias("c")).select("d", "t", "c.no", "c.h"), "line-chunks")
 
     place = F.struct("d", "t", "no")
     firsts = places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     marked = places.join(firsts, "h").select("d", "t", F.struct("no", "h", (place == F.col("first")).alias("is_first")).alias("c"))
     wanted = marked.groupBy("d", "t").agg(F.collect_set("c").alias("wanted")).withColumnRenamed("d", "wd").withColumnRenamed("t", "wt")
     some = own.join(wanted, F.col("d").eqNullSafe(F.col("wd")) & (F.col("t") == F.col("wt"))).drop("wd", "wt")
-    fetched = chunked(some, "text", "lines", "chunks").select(
-        "d", "t", F.explode(F.transform("wanted", lambda w: F.struct(w["no"].alias("no"), w["h"].alias("h"), w["is_first"].alias("is_first"), _joined("lines", F.get("chunks", w["no"] - 1)).alias("bytes")))).alias("c")
-    ).select("d", "t", "c.*")
+
+    def bytes_of(lines: Column, chunks: Column) -> Column:
+        return F.transform("wanted", lambda w: F.struct(w["no"].alias("no"), w["h"].alias("h"), w["is_first"].alias("is_first"), _joined(lines, F.get(chunks, w["no"] - 1)).alias("bytes")))
+
+    fetched = some.select("d", "t", F.explode(with_chunks("text", bytes_of)).alias("c")).select("d", "t", "c.*")
     fetched = staged(fetched, "line-bytes")
     first_bytes = fetched.where("is_first").select("h", F.col("bytes").alias("first_bytes"))
     again = fetched.where("not is_first").join(first_bytes, "h").where(F.col("bytes") == F.col("first_bytes"))
@@ -74,14 +85,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     met = docs.withColumn(t, F.xxhash64(text)).join(removed, F.col(key).eqNullSafe(F.col(d)) & (F.col(t) == F.col(kt)), "left")
     met = met.drop(d, kt, t)
-    touched = chunked(met.where(F.col(gone).isNotNull()), text, lines, chunks)
-    goes = F.filter(chunks, lambda c: F.array_contains(F.col(gone), c["no"]))
-    stays = F.filter(chunks, lambda c: ~F.array_contains(F.col(gone), c["no"]))
-    touched = touched.withColumns({
-        n_lines: F.size(lines).cast("long"),
-        n_removed: F.aggregate(goes, F.lit(0), lambda a, c: a + c["n"]).cast("long"),
-        text: F.array_join(F.flatten(F.transform(stays, lambda c: F.slice(lines, c["first"], c["n"]))), "\n"),
-    })
+
+    def rebuilt(lines: Column, chunks: Column) -> Column:
+        goes = F.filter(chunks, lambda c: F.array_contains(F.col(gone), c["no"]))
+        stays = F.filter(chunks, lambda c: ~F.array_contains(F.col(gone), c["no"]))
+        return F.struct(
+            F.size(lines).cast("long").alias("n"), F.aggregate(goes, F.lit(0), lambda a, c: a + c["n"]).cast("long").alias("gone"),
+            F.array_join(F.flatten(F.transform(stays, lambda c: F.slice(lines, c["first"], c["n"]))), "\n").alias("text"),
+        )
+
+    touched = met.where(F.col(gone).isNotNull()).withColumn(made, with_chunks(text, rebuilt))
+    touched = touched.withColumns({n_lines: F.col(made)["n"], n_removed: F.col(made)["gone"], text: F.col(made)["text"]})
     whole = met.where(F.col(gone).isNull()).withColumns({n_lines: F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"), n_removed: F.lit(0).cast("long")})
     columns = [*docs.columns, n_lines, n_removed]
     return touched.select(*columns).unionByName(whole.select(*columns))
