@@ -1 +1 @@
-
+"""No streaming operators: documents arrive whole. Operators are DataFrame functions, and those without sorting or windows run on streams as they are."""
