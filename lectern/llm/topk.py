@@ -7,7 +7,7 @@ Each query first searches one shard, its own; the kth score found there goes wit
 return only what reaches it. Queries meet shards in blocks, so both sides of a task are bounded. Bounds that equal the kth
 score are searched too, as a tie may have a smaller vec_id.
 
-Defined cases: rows without vec_id, null vectors, and vectors with null or non-finite components take no part; vectors of
+Defined cases: rows without vec_id, null and empty vectors, and vectors with null or non-finite components take no part; vectors of
 different lengths are never paired; repeated equal rows count once; a query never meets rows of its own vec_id. Components
 must lie within 2**31 after scaling, else the query fails (the score would not be exact).
 """
@@ -88,7 +88,7 @@ def _search(k: int):
         if not len(points) or not len(queries):
             return FOUND.empty_table()
         tree = Tree(points["vec_id"].to_numpy(), _matrix(points["v"], len(points)))
-        asked, ids = _matrix(queries["v"], len(queries)), queries["vec_id"].to_numpy()
+        asked, ids = _matrix(queries["query"], len(queries)), queries["query_id"].to_numpy()
         least = queries["kth"].to_numpy(zero_copy_only=False)
         out: list = []
         for start in range(0, len(ids), 512):
@@ -104,19 +104,22 @@ def _search(k: int):
 def scaled(embeddings: DataFrame, factor: float = 64.0) -> DataFrame:
     """vec_id, v (whole numbers) of the vectors that take part, each once."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    out = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(sound)
+    out = embeddings.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).where(sound)
     return out.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * factor)).alias("v")).dropDuplicates()
 
 
-def top_k(points: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def top_k(points: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(vec_id, v) each: query_id, rank, vec_id, score of each query's k best."""
     n, asked = points.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // BLOCK_QUERIES))
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_queries))
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), "block": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")})
+    def dealt(df: DataFrame, id_: str, vector: str) -> DataFrame:
+        return df.select(
+            F.col("vec_id").alias(id_), F.col("v").alias(vector), F.size("v").alias("dim"),
+            F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"),
+        )
 
-    p, q = dealt(points), dealt(queries)
+    p, q = dealt(points, "vec_id", "v"), dealt(queries, "query_id", "query")
     schema, keys = "query_id bigint, vec_id bigint, score bigint", ("dim", "shard", "block")
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     spread = p.withColumn("block", every_block) if blocks > 1 else p
@@ -125,9 +128,9 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     found = first
     if shards > 1:
         by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        kth = first.withColumn("at", F.row_number().over(by_score)).where(F.col("at") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
+        kth = first.withColumn("at", F.row_number().over(by_score)).where(F.col("at") == k).select("query_id", F.col("score").cast("double").alias("kth"))
         others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard")))
-        sent = q.join(kth, "vec_id", "left").fillna(float("-inf"), ["kth"]).withColumn("shard", others)
+        sent = q.join(kth, "query_id", "left").fillna(float("-inf"), ["kth"]).withColumn("shard", others)
         found = first.unionByName(spread.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(lambda a, b: search(a, b), schema))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
