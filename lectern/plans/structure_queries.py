@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions import runs as rn
 from lectern.functions import text as t
+from lectern.operators import drawn as dr
 from lectern.operators import layout as ly
 from lectern.operators import paragraphs as pg
 from lectern.operators import sequences as s
 from lectern.operators import slides as sl
 from lectern.operators.fold import fold_by_doc
+from lectern.plans import layout_queries as lq
 from lectern.plans.measure_queries import headings
 from lectern.plans.scalar_queries import run_rows, vectors
 from lectern.sources import corpus as c
@@ -249,3 +251,54 @@ NUMBERS = [(0, "arabicPeriod", None, "1."), (1, "alphaLcParenR", None, "a)"), (1
 def shape_numbers(spark, d):
     rows = spark.createDataFrame([(1, i, *r[:3]) for i, r in enumerate(NUMBERS)], "doc_id int, pos int, level int, scheme string, start int")
     return fold_by_doc(rows, ["doc_id"], ["pos"], sl.shape_numbers, "pos int, label string")
+
+
+TABLES = [  # pos, page, header, n_cols, n_rows, titled, widths
+    (0, 1, "h", 2, 2, False, [1.0, 1.0]), (1, 1, "h", 2, 3, False, [1.0, 1.0]), (2, 2, "g", 2, 2, False, [1.1, 1.0]), (4, 2, "g", 2, 2, False, None), (5, 3, "x", 2, 1, False, [1.0, 3.0]), (6, 5, "y", 2, 1, False, [1.0, 3.0]), (7, 5, "t", 2, 4, True, None),
+]
+
+
+@query("split_deck_tables", vectors(("document", 0, 4, 2), ("document", 2, 2, 1), ("document", 4, 2, 1), ("document", 5, 1, 1), ("document", 6, 1, 1), ("document", 7, 4, 1),
+                                    ("slides", 0, 6, 3), ("slides", 4, 3, 2), ("slides", 6, 1, 1), ("slides", 7, 4, 1), names="layout, pos, n_rows, parts"))
+def split_deck_tables(spark, d):
+    rows = spark.createDataFrame([(lay, *r) for lay in ("document", "slides") for r in TABLES], "layout string, pos int, page int, header string, n_cols int, n_rows int, titled boolean, widths array<double>")
+    return fold_by_doc(rows, ["layout"], ["pos"], lambda r: dr.merged_tables(r, r[0]["layout"] == "slides"), "layout string, pos int, n_rows int, parts int")
+
+
+@query("cell_blocks", vectors((0, "paragraph", 0, "One line and its wrap"), (1, "bullet", 0, "point"), (2, "paragraph", 0, "Far below"), names="pos, kind, level, text"))
+def cell_blocks(spark, d):
+    lines = [(0, 10.0, "One line", None), (1, 23.0, "and its wrap", None), (2, 40.0, "point", "•"), (3, 90.0, "Far below", None)]
+    rows = spark.createDataFrame([(1, i, 1, 72.0, 200.0, y, 11.0, x, 0.0, b, 72.0, False, False, 600.0) for i, y, x, b in lines], "doc_id int, line int, page int, x0 double, x1 double, y0 double, size double, text string, bold double, bullet string, text_x double, in_box boolean, blank boolean, page_width double")
+    return fold_by_doc(rows, ["doc_id"], ["line"], dr.flow_blocks, "pos int, kind string, level int, text string")
+
+
+@query("box_tables", vectors((0, 0, 0, 0), (1, 0, 0, 1), (2, 0, 1, 0), (3, 0, 1, 1), names='box, "table", row, col'))
+def box_tables(spark, d):
+    boxes = [(0, 0.0, 0.0, 50.0, 20.0), (1, 51.0, 0.0, 100.0, 20.0), (2, 0.0, 21.0, 50.0, 40.0), (3, 51.0, 21.0, 100.0, 40.0), (4, 0.0, 100.0, 50.0, 120.0), (5, 51.0, 100.0, 100.0, 120.0), (6, 300.0, 0.0, 310.0, 90.0)]
+    rows = spark.createDataFrame([(1, *b) for b in boxes], "doc_id int, box int, x0 double, y0 double, x1 double, y1 double")
+    return fold_by_doc(rows, ["doc_id"], ["box"], dr.box_tables, "box int, table int, row int, col int")
+
+
+@query("ruled_bands", vectors((1, None), (3, 0), (4, 0), (7, 1), (9, None), names="item, band"))
+def ruled_bands(spark, d):
+    items = [(1, "line", 0.0, 90.0), (2, "rule", 0.0, 400.0), (3, "line", 0.0, 90.0), (4, "line", 0.0, 90.0), (5, "rule", 0.0, 50.0), (6, "rule", 10.0, 400.0), (7, "line", 0.0, 90.0), (8, "rule", 0.0, 400.0), (9, "line", 0.0, 90.0)]
+    rows = spark.createDataFrame([(1, i, k, a, b, float(i * 10), 600.0) for i, k, a, b in items], "doc_id int, item int, kind string, x0 double, x1 double, y0 double, page_width double")
+    return fold_by_doc(rows, ["doc_id"], ["item"], dr.ruled_rows, "item int, band int")
+
+
+@query("underlined_spans", f"""
+WITH {lq.BOXES_SQL} SELECT DISTINCT s.box FROM b s JOIN b r ON s.doc_id = r.doc_id AND s.box <> r.box AND r.y0 - s.y1 >= -0.1::DOUBLE * 12 AND r.y0 - s.y1 <= 0.4::DOUBLE * 12 AND least(s.x1, r.x1) - greatest(s.x0, r.x0) > 0.5::DOUBLE * (s.x1 - s.x0)""")
+def underlined_spans(spark, d):
+    b = lq.boxes(spark, d)
+    spans = b.select("doc_id", "box", "x0", "x1", F.col("y1").alias("baseline"), F.lit(12.0).alias("size"))
+    return dr.underlined(spans, b.select("doc_id", "x0", "x1", F.col("y0").alias("y")), ["doc_id"], "box")
+
+
+@query("line_words", f"""
+WITH {c.TURNS_SQL}, w AS (SELECT doc_id, page, pos, list_filter(string_split(replace(line, chr(9), ' '), ' '), lambda x: x <> '') AS ws FROM turn_lines)
+SELECT doc_id, page, CAST(pos AS INTEGER) AS pos, CAST(len(ws) AS INTEGER) AS words, ws[1] AS first, ws[-1] AS last FROM w""")
+def line_words(spark, d):
+    """Words of a line with their places, from its characters."""
+    chars = F.transform(F.split("line", ""), lambda ch, i: F.struct(ch.alias("c"), i.cast("double").alias("x0"), (i + 1).cast("double").alias("x1")))
+    lines = c.turn_lines(spark, d).select("doc_id", "page", "pos", dr.words_of(F.filter(chars, lambda x: x["c"] != "")).alias("w"))
+    return lines.select("doc_id", "page", "pos", F.size("w").alias("words"), F.try_element_at("w", F.lit(1))["text"].alias("first"), F.try_element_at("w", F.lit(-1))["text"].alias("last"))
