@@ -34,7 +34,8 @@ from xxhash import xxh64_intdigest
 from lectern.llm.common import fresh, staged, table
 
 LENGTH, PREFIX = 50, 12
-SEGMENTS = 64
+#: Distinct segments of a group that a subtree is built for: some 1.2 MB of word hashes.
+SEGMENTS = 2048
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Words worked on at a time, and words whose hash is remembered.
 BLOCK, REMEMBERED = 1 << 19, 400_000
@@ -252,7 +253,7 @@ def covered(docs: DataFrame) -> DataFrame:
     small = sized.where(F.col("in_group") <= SEGMENTS).drop("in_group").repartition("prefix").sortWithinPartitions("prefix")
     flags = small.select(*FETCHED.names).mapInArrow(_subtrees, FLAGGED_DDL)
     large = sized.where(F.col("in_group") > SEGMENTS).select(*FETCHED.names)
-    windows = large.mapInArrow(_full_depth, "doc_id bigint, prefix bigint, seg bigint, seg2 bigint, at int, h bigint, h2 bigint")
+    windows = staged(large.mapInArrow(_full_depth, "doc_id bigint, prefix bigint, seg bigint, seg2 bigint, at int, h bigint, h2 bigint"), "full-depth")
     nodes = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     deep = windows.join(nodes, ["h", "h2"]).where("lo < doc_id").groupBy(*SEGMENT).agg(F.collect_set("at").alias("flags"))
     flags = flags.unionByName(deep)

@@ -53,8 +53,10 @@ def test_substrings_equal_the_plain_version(odd, odd_rows):
         assert sha(r.kept) == r.kept_sha256
 
 
-def test_substrings_of_hot_passages_with_many_edges(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [10, 2048])
+def test_substrings_of_hot_passages_with_many_edges(spark, monkeypatch, limit):
     """Over SEGMENTS different texts around one passage: prefixes of full depth."""
+    monkeypatch.setattr(substrings, "SEGMENTS", limit)
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(70)]
     rows = [(i, " ".join([f"a{rng.randrange(99)}" for _ in range(40)] + passage[rng.randrange(15) :] + [f"b{rng.randrange(99)}" for _ in range(40)])) for i in range(150)]
