@@ -69,7 +69,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     places = staged(own.select("d", "t", F.explode(with_chunks("text", hashed)).alias("c")).select("d", "t", "c.no", "c.h"), "line-chunks")
 
     place = F.struct("d", "t", "no")
-    firsts = places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    # Written first, so that the join reads it by an exchange of its own and Spark can split a hot hash.
+    firsts = staged(places.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"), "line-firsts")
     marked = places.join(firsts, "h").select("d", "t", F.struct("no", "h", (place == F.col("first")).alias("is_first")).alias("c"))
     wanted = marked.groupBy("d", "t").agg(F.collect_set("c").alias("wanted")).withColumnRenamed("d", "wd").withColumnRenamed("t", "wt")
     some = own.join(wanted, F.col("d").eqNullSafe(F.col("wd")) & (F.col("t") == F.col("wt"))).drop("wd", "wt")
