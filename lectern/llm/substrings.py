@@ -238,12 +238,13 @@ def _full_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered(docs: DataFrame) -> DataFrame:
     """(doc_id, t, text), t a hash of the text -> (doc_id, t, first, last): stretches of words that a smaller document has too."""
     anchors = staged(docs.where("doc_id is not null and text is not null").select("doc_id", "t", "text").mapInArrow(_anchors, ANCHORS_DDL), "anchors")
-    shared = anchors.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("prefix")
+    # What a join looks up is written first: it then comes by an exchange of its own, and Spark can split a hot key's rows.
+    shared = staged(anchors.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("prefix"), "prefixes-shared")
     places = staged(anchors.join(shared, "prefix"), "anchors-shared")
     distinct = places.groupBy(*SEGMENT).agg(F.min(F.struct("doc_id", "t", "start", "n")).alias("least"), F.max("doc_id").alias("hi"))
     distinct = staged(distinct.select(*SEGMENT, "least.*", "hi"), "segments")
 
-    groups = distinct.groupBy("prefix").agg(F.count("*").alias("in_group")).where("in_group > 1")
+    groups = staged(distinct.groupBy("prefix").agg(F.count("*").alias("in_group")).where("in_group > 1"), "prefix-groups")
     in_trees = distinct.join(groups, "prefix").groupBy("doc_id", "t").agg(F.collect_list(F.struct(*SEGMENT, "start", "n")).alias("wanted"))
     texts = docs.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "text")
     asked = in_trees.join(texts, (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("dt"))).select("doc_id", "text", "wanted")
@@ -254,11 +255,11 @@ def covered(docs: DataFrame) -> DataFrame:
     flags = small.select(*FETCHED.names).mapInArrow(_subtrees, FLAGGED_DDL)
     large = sized.where(F.col("in_group") > SEGMENTS).select(*FETCHED.names)
     windows = staged(large.mapInArrow(_full_depth, "doc_id bigint, prefix bigint, seg bigint, seg2 bigint, at int, h bigint, h2 bigint"), "full-depth")
-    nodes = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    nodes = staged(windows.groupBy("h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "full-depth-nodes")
     deep = windows.join(nodes, ["h", "h2"]).where("lo < doc_id").groupBy(*SEGMENT).agg(F.collect_set("at").alias("flags"))
     flags = flags.unionByName(deep)
 
-    told = distinct.select(*SEGMENT, F.col("doc_id").alias("lo"), "hi").join(flags, list(SEGMENT), "left").where("hi > lo or flags is not null").drop("hi")
+    told = staged(distinct.select(*SEGMENT, F.col("doc_id").alias("lo"), "hi").join(flags, list(SEGMENT), "left").where("hi > lo or flags is not null").drop("hi"), "segments-told")
     hits = places.join(told, list(SEGMENT))
     whole = hits.where("doc_id > lo").select("doc_id", "t", F.col("start").alias("first"), (F.col("start") + F.col("n") + LENGTH - 1).alias("last"))
     some = hits.where("doc_id = lo and flags is not null").select("doc_id", "t", "start", F.explode("flags").alias("at"))
