@@ -6,6 +6,8 @@ before the next. run() does so in the shared folder.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.where(F.col(predicted) != "und").select(*docs.columns)
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from the texts; documents of which nothing is left go too."""
-    out = lines.dedup_lines(docs)
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, least: int = 1) -> DataFrame:
+    """Repeated chunks of lines (of `least` or more) go from the texts; documents of which nothing is left go too."""
+    out = lines.dedup_lines(docs, least=least)
     return _like(out.where("text is null or text <> ''"), docs)
 
 
@@ -65,7 +67,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", identify_language),
-    ("lines", dedup_lines),
+    ("lines", partial(dedup_lines, least=lines.LEAST_LINES)),
     ("near", dedup_near),
     ("mix", mix_sources),
     ("encode", encode),

@@ -11,6 +11,10 @@ document come together only as its own list of chunk numbers.
 Defined cases: lines end at line feeds only; a null text has no lines and stays null; the last chunk ends with the text; rows
 equal in doc_id and text are one document and are all treated alike; a null doc_id comes first; a chunk whose hash equals but
 whose bytes differ from the first one's stays; when all lines go the text is empty. An empty table gives no rows.
+
+`least` (1 or 2) is the least length of a chunk in lines. With 2, no chunk closes after a single line, and a last single line joins
+the chunk before it, so a repeated text of two lines or more goes as a whole. With 1, op5's rule, single lines stay wherever
+they are cut off.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def with_chunks(text: str, body: Callable[[Column, Column], Column]) -> Column:
-    """body(lines, chunks) of a text; chunks is an array of (no, first, n), counted from 1."""
+def with_chunks(text: str, body: Callable[[Column, Column], Column], least: int = 1) -> Column:
+    """body(lines, chunks) of a text; chunks is an array of (no, first, n), counted from 1, of `least` lines or more."""
     def hashes(lines: Column) -> Column:
         return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
 
@@ -42,7 +46,20 @@ def with_chunks(text: str, body: Callable[[Column, Column], Column]) -> Column:
         def rolled(i: Column) -> Column:
             return sum((F.coalesce(F.get(h, i - 1 - j), F.lit(0)) * BASE**j for j in range(1, WINDOW)), F.get(h, i - 1))
 
-        return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == F.size(h)) | (F.pmod(rolled(i), F.lit(DIVISOR)) == 0))
+        def closes(i: Column) -> Column:
+            return F.pmod(rolled(i), F.lit(DIVISOR)) == 0
+
+        every = F.sequence(F.lit(1), F.size(h))
+        if least == 1:
+            return F.filter(every, lambda i: (i == F.size(h)) | closes(i))
+
+        def may(i: Column) -> Column:
+            return closes(i) & (i >= least) & (i <= F.size(h) - least)
+
+        # Of lines in a row that might each close a chunk, the first does and then every second one.
+        first, last = F.filter(every, lambda i: may(i) & ~may(i - 1)), F.filter(every, lambda i: may(i) & ~may(i + 1))
+        inner = F.flatten(F.zip_with(first, last, lambda a, b: F.sequence(a, b, F.lit(least))))
+        return F.concat(inner, F.array(F.size(h)))
 
     def chunks(e: Column) -> Column:
         def chunk(end: Column, k: Column) -> Column:
@@ -58,15 +75,15 @@ def _joined(lines: Column, c: Column) -> Column:
     return F.array_join(F.slice(lines, c["first"], c["n"]), "\n")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with repeated chunks gone from the text, and n_lines, n_removed (lines; of a null text 0)."""
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = 1) -> DataFrame:
+    """docs with repeated chunks (of `least` lines or more) gone from the text, and n_lines, n_removed (lines; of a null text 0)."""
     n_lines, n_removed, t, made, gone, d, kt = fresh(docs.columns, "n_lines", "n_removed", "t", "made", "gone", "d", "kt")
     own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
 
     def hashed(lines: Column, chunks: Column) -> Column:
         return F.transform(F.filter(chunks, lambda c: c["n"] >= LEAST_LINES), lambda c: F.struct(c["no"].alias("no"), F.xxhash64(_joined(lines, c)).alias("h")))
 
-    places = staged(own.select("d", "t", F.explode(with_chunks("text", hashed)).alias("c")).select("d", "t", "c.no", "c.h"), "line-chunks")
+    places = staged(own.select("d", "t", F.explode(with_chunks("text", hashed, least)).alias("c")).select("d", "t", "c.no", "c.h"), "line-chunks")
 
     place = F.struct("d", "t", "no")
     # Written first, so that the join reads it by an exchange of its own and Spark can split a hot hash.
@@ -78,7 +95,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     def bytes_of(lines: Column, chunks: Column) -> Column:
         return F.transform("wanted", lambda w: F.struct(w["no"].alias("no"), w["h"].alias("h"), w["is_first"].alias("is_first"), _joined(lines, F.get(chunks, w["no"] - 1)).alias("bytes")))
 
-    fetched = some.select("d", "t", F.explode(with_chunks("text", bytes_of)).alias("c")).select("d", "t", "c.*")
+    fetched = some.select("d", "t", F.explode(with_chunks("text", bytes_of, least)).alias("c")).select("d", "t", "c.*")
     fetched = staged(fetched, "line-bytes")
     first_bytes = fetched.where("is_first").select("h", F.col("bytes").alias("first_bytes"))
     again = fetched.where("not is_first").join(first_bytes, "h").where(F.col("bytes") == F.col("first_bytes"))
@@ -95,7 +112,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
             F.array_join(F.flatten(F.transform(stays, lambda c: F.slice(lines, c["first"], c["n"]))), "\n").alias("text"),
         )
 
-    touched = met.where(F.col(gone).isNotNull()).withColumn(made, with_chunks(text, rebuilt))
+    touched = met.where(F.col(gone).isNotNull()).withColumn(made, with_chunks(text, rebuilt, least))
     touched = touched.withColumns({n_lines: F.col(made)["n"], n_removed: F.col(made)["gone"], text: F.col(made)["text"]})
     whole = met.where(F.col(gone).isNull()).withColumns({n_lines: F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"), n_removed: F.lit(0).cast("long")})
     columns = [*docs.columns, n_lines, n_removed]

@@ -1,11 +1,15 @@
+import hashlib
 from collections import Counter
 
 import corpus_pipeline as cp
+import plain
+import pytest
 from plain import fingerprint, linked, sha
 from plain import lines as plain_lines
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lectern.llm import pieces
+from lectern.llm import lines, pieces
 
 
 def test_each_stage_against_a_plain_version(spark, small):
@@ -58,3 +62,39 @@ def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n[:2] == "op" and n[2].isdigit()} == set(range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def least_chunks(text):
+    """No chunk closes after a single line; a last single line joins the chunk before it."""
+    out, run, before = [], [], 0
+    for i, x in enumerate(text.split("\n")):
+        h = int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+        run.append(x)
+        if len(run) > 1 and (h + 31 * before * (i > 0)) % 3 == 0:
+            out.append(run)
+            run = []
+        before = h
+    if len(run) == 1 and out:
+        out[-1] += run
+    elif run:
+        out.append(run)
+    return out
+
+
+def test_lines_stage_empties_copies_of_texts_of_several_lines(spark, monkeypatch):
+    texts = ["\n".join(f"line {k} of {i}" for k in range(2 + i)) for i in range(30)]
+    texts.append("head\n" + "\n".join(texts[20:23]) + "\ntail")  # long passages within another text
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)]
+    out = dict(cp.STAGES)["lines"](spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert max(got) == 30 and {i: got[i] for i in range(30)} == dict(enumerate(texts[:30]))
+    monkeypatch.setattr(plain, "chunks", least_chunks)
+    assert got == {i: t for (i, _), (_, _, t) in plain_lines(rows).items() if t} and len(got[30]) < len(texts[30])
+
+
+def test_chunks_of_two_lines_at_least(spark):
+    texts = ["\n".join(f"w{(i * 7 + k * k) % 23}" for k in range(i)) for i in range(1, 60)] + [f"{x}\n" * 30 for x in "abcdef"] + ["\n", ""]
+    sizes = lines.with_chunks("text", lambda _, c: F.transform(c, lambda x: x["n"]), 2)
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", sizes.alias("n")).collect()
+    assert {r.text: r.n for r in got} == {t: [len(c) for c in least_chunks(t)] for t in texts}
+    assert all(min(r.n) > 1 or r.n == [1] for r in got)
