@@ -67,13 +67,32 @@ WITH {c.ITEMS_SQL}, v AS (SELECT doc_id, bool_and(number = pos + 1) AND count(*)
 SELECT i.doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN valid THEN 'bullet' ELSE 'paragraph' END AS kind, CASE WHEN valid THEN (pos + 1) || '.' END AS label FROM order_items i JOIN v USING (doc_id)
 WHERE doc_id IN (SELECT doc_id FROM order_items GROUP BY doc_id HAVING bool_and(number = pos + 1))""")
 def order_lists(spark, d):
-    """Orders whose items count up from 1, as typed paragraphs: each becomes one numbered list, single items stay text."""
+    """Only orders whose items count up from 1, as typed paragraphs: each becomes one numbered list, single items stay text.
+
+    all_order_lists takes all orders."""
     items = c.order_items(spark, d)
     whole = items.groupBy("doc_id").agg(F.bool_and(F.col("number") == F.col("pos") + 1).alias("ok")).where("ok").drop("ok")
     rows = items.join(whole, "doc_id").select("doc_id", "pos", F.lit(P).alias("kind"), F.concat(F.col("number").cast("string"), F.lit(". "), "name").alias("text"), F.lit(0).alias("level"))
     return fold_by_doc(rows, ["doc_id"], ["pos"], nb.converted, "doc_id bigint, pos int, kind string, label string")
 
 
+@query("all_order_lists", f"""
+WITH RECURSIVE {c.ITEMS_SQL}, o AS (SELECT doc_id, list(number ORDER BY pos) AS ns FROM order_items GROUP BY doc_id),
+w AS (SELECT doc_id, ns, 1 AS i, CAST(NULL AS BIGINT) AS last, 0 AS strays, 0 AS stray, 0 AS list, 0 AS took FROM o
+  UNION ALL SELECT doc_id, ns, CASE WHEN restarts THEN i WHEN ends THEN CASE WHEN strays = 0 THEN i ELSE stray END ELSE i + 1 END, CASE WHEN fits THEN ns[i] WHEN restarts OR ends THEN NULL ELSE last END,
+    CASE WHEN fits OR restarts OR ends THEN 0 ELSE strays + 1 END, CASE WHEN strays = 0 THEN i ELSE stray END, CASE WHEN restarts OR ends THEN list + 1 ELSE list END, CASE WHEN fits THEN i ELSE 0 END
+  FROM (SELECT *, NOT fits AND ns[i] = 1 AS restarts, NOT fits AND ns[i] <> 1 AND strays + 1 >= {nb.STRAYS} AS ends
+    FROM (SELECT *, last IS NULL OR ns[i] = last + 1 AS fits FROM w WHERE i <= len(ns)))),
+t AS (SELECT doc_id, took - 1 AS pos, ns[took] AS number, count(*) OVER l AS n, min(ns[took]) OVER l AS least FROM w WHERE took > 0 WINDOW l AS (PARTITION BY doc_id, list))
+SELECT i.doc_id, CAST(i.pos AS INTEGER) AS pos, CASE WHEN t.n >= 2 AND t.least = 1 THEN 'bullet' ELSE 'paragraph' END AS kind, CASE WHEN t.n >= 2 AND t.least = 1 THEN t.number || '.' END AS label
+FROM order_items i LEFT JOIN t ON i.doc_id = t.doc_id AND i.pos = t.pos""")
+def all_order_lists(spark, d):
+    """Every order as typed paragraphs, however its items count: lists restart, strays stay within or end them, and lists that
+    don't count up from 1 stay text."""
+    rows = c.order_items(spark, d).select("doc_id", "pos", F.lit(P).alias("kind"), F.concat(F.col("number").cast("string"), F.lit(". "), "name").alias("text"), F.lit(0).alias("level"))
+    return fold_by_doc(rows, ["doc_id"], ["pos"], nb.converted, "doc_id bigint, pos int, kind string, label string")
+
+
 WORD = [  # num_id, level, override
     ("n1", 0, None), ("n1", 1, None), ("n1", 1, None), ("n1", 0, None), ("n1", 1, None), ("n2", 0, None), ("n3", 0, 5), ("n3", 0, 5), ("n1", 2, None), ("n1", 0, None),
 ]

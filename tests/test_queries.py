@@ -58,3 +58,14 @@ def test_offsets_never_overlap(spark):
 def test_no_shuffle_of_documents_where_a_window_shares_its_partitioning(spark):
     plan = own()["style_ranges"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") <= 2
+
+
+def test_every_order_reaches_the_list_converter(spark):
+    from lectern.sources import corpus
+
+    rows = own()["all_order_lists"](spark, SF).collect()
+    numbers = {(r.doc_id, r.pos): r.number for r in corpus.order_items(spark, SF).collect()}
+    assert {(r.doc_id, r.pos) for r in rows} == set(numbers) and len(rows) == len(numbers)
+    up = {r.doc_id for r in own()["order_lists"](spark, SF).select("doc_id").distinct().collect()}
+    others = [r for r in rows if r.doc_id not in up]
+    assert {r.kind for r in others} == {"bullet", "paragraph"} and all(r.label == f"{numbers[r.doc_id, r.pos]}." for r in rows if r.kind == "bullet")
