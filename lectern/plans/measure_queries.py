@@ -288,12 +288,25 @@ b AS (SELECT *, coalesce(header <> '' AND lag(header) OVER w = header AND lag(n_
 i AS (SELECT *, sum(CASE WHEN g THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM b)
 SELECT doc_id, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last, any_value(header) AS header, any_value(n_cols) AS n_cols, CAST(sum(n_rows - CASE WHEN g THEN 1 ELSE 0 END) AS BIGINT) AS n_rows, count(*) AS parts FROM i GROUP BY doc_id, k""")
 def split_tables(spark, d):
-    """Each line with bars as a table of two rows; those that repeat their neighbour's header go on."""
+    """Each line with bars as a table of two rows; those that share the first letter, and the column count modulo 3, with their neighbour go on.
+
+    A thinned rule that merges tables whose headers differ; split_tables_whole compares all of the header."""
     header = F.substring(tb.header_key(F.array(F.get("cells", F.lit(0)))), 1, 1)
     tables = pipe_rows(spark, d).select("doc_id", "pos", header.alias("header"), (F.size("cells") % 3).alias("n_cols"), F.lit(2).alias("n_rows"))
     return tb.merge_split(tables, ["doc_id"], "pos", "header", "n_cols", "n_rows")
 
 
+@query("split_tables_whole", f"""
+WITH {PIPES_SQL}, t AS (SELECT doc_id, pos, lower(trim(regexp_replace(array_to_string(cells, ' | '), '\\s+', ' ', 'g'))) AS header, CAST(len(cells) AS INTEGER) AS n_cols FROM p),
+b AS (SELECT *, coalesce(header <> '' AND lag(header) OVER w = header AND lag(n_cols) OVER w = n_cols AND lag(pos) OVER w = pos - 1, false) AS g FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+i AS (SELECT *, sum(CASE WHEN g THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last, any_value(header) AS header, any_value(n_cols) AS n_cols, CAST(count(*) + 1 AS BIGINT) AS n_rows, count(*) AS parts FROM i GROUP BY doc_id, k""")
+def split_tables_whole(spark, d):
+    """Each line with bars as a table of two rows; those that repeat their neighbour's whole header and column count go on."""
+    tables = pipe_rows(spark, d).select("doc_id", "pos", tb.header_key(F.col("cells")).alias("header"), F.size("cells").alias("n_cols"), F.lit(2).alias("n_rows"))
+    return tb.merge_split(tables, ["doc_id"], "pos", "header", "n_cols", "n_rows")
+
+
 BLOCKS_SQL = """
 b AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_id % 4 = 0 AS spacer, event_id % 5 <> 0 AS selected,
   CASE WHEN event_id % 4 = 0 THEN 'paragraph' WHEN event_id % 7 = 0 THEN 'heading' WHEN event_id % 11 = 0 THEN 'table' WHEN event_id % 3 = 0 THEN 'bullet' ELSE 'paragraph' END AS kind,

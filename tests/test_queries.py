@@ -69,3 +69,13 @@ def test_every_order_reaches_the_list_converter(spark):
     up = {r.doc_id for r in own()["order_lists"](spark, SF).select("doc_id").distinct().collect()}
     others = [r for r in rows if r.doc_id not in up]
     assert {r.kind for r in others} == {"bullet", "paragraph"} and all(r.label == f"{numbers[r.doc_id, r.pos]}." for r in rows if r.kind == "bullet")
+
+
+def test_tables_go_on_only_where_the_whole_header_repeats(spark, tmp_path):
+    """The letter of the first cell and the column count modulo 3 agree in all of these lines with bars."""
+    text = "Act | Section\n act  |  SECTION \nAct | Section\nAct | Part\nAct | b | c | d | e\nAct | b | c | d | e\nplain\nAct | b | c | d | e"
+    spark.createDataFrame([(1, "s", "en", text)], "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = own()["split_tables_whole"](spark, str(tmp_path)).orderBy("first").collect()
+    assert [(r.first, r.last, r.header, r.n_cols, r.n_rows, r.parts) for r in rows] == [
+        (0, 2, "act | section", 2, 4, 3), (3, 3, "act | part", 2, 2, 1), (4, 5, "act | b | c | d | e", 5, 3, 2), (7, 7, "act | b | c | d | e", 5, 2, 1),
+    ]
