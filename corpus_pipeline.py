@@ -11,7 +11,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, lines, mixing, pieces, simhash
+from lectern.llm import language, lines, mixing, pieces, simhash, similar
 from lectern.llm.common import fresh, staged, table
 
 
@@ -35,6 +35,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, least: int =
     return _like(out.where("text is null or text <> ''"), docs)
 
 
+def dedup_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies by fingerprints go first, then such by five-word shingles of similarity 0.8: of what stays, no two texts are similar."""
+    return similar.drop_similar(staged(dedup_near(spark, docs, sf_dir), "near-first"))
+
+
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by fingerprints the document with the smallest doc_id stays (a null one only where there is no other)."""
     near = simhash.near_groups(staged(simhash.fingerprinted(docs.select("doc_id", "text"), "text", "fp"), "simhash"))
@@ -68,7 +73,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", identify_language),
     ("lines", partial(dedup_lines, least=lines.LEAST_LINES)),
-    ("near", dedup_near),
+    ("near", dedup_similar),
     ("mix", mix_sources),
     ("encode", encode),
 ]

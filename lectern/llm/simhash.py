@@ -37,17 +37,17 @@ CHUNK, SPLIT = 128, 8192
 BLOCK = 1 << 17
 
 
-def shingle_hashes(text: str | None) -> Iterator[np.ndarray]:
-    """XXH64 of each 3-word shingle, in blocks."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of `size` words, in blocks."""
     words = (text or "").encode().lower().split()
     if not words:
         return
     whole = b" ".join(words)
-    if len(words) < SHINGLE:
+    if len(words) < size:
         yield np.array([xxh64_intdigest(whole, SEED)], np.uint64)
         return
     after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts, ends = after[:-SHINGLE].tolist(), (after[SHINGLE - 1 :] - 1).tolist()
+    starts, ends = after[:-size].tolist(), (after[size - 1 :] - 1).tolist()
     starts.insert(0, 0)
     for a in range(0, len(ends), BLOCK):
         cut = [whole[i:j] for i, j in zip(starts[a : a + BLOCK], ends[a : a + BLOCK], strict=False)]

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import corpus_pipeline as cp
@@ -9,7 +10,7 @@ from plain import lines as plain_lines
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lectern.llm import lines, pieces
+from lectern.llm import lines, pieces, similar
 
 
 def test_each_stage_against_a_plain_version(spark, small):
@@ -98,3 +99,34 @@ def test_chunks_of_two_lines_at_least(spark):
     got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", sizes.alias("n")).collect()
     assert {r.text: r.n for r in got} == {t: [len(c) for c in least_chunks(t)] for t in texts}
     assert all(min(r.n) > 1 or r.n == [1] for r in got)
+
+
+def word_set(text, size=5):
+    w = plain.WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9 and bool(a | b)
+
+
+@pytest.mark.parametrize("chunks", [(512, 128), (4, 3)])
+def test_near_stage_leaves_no_similar_texts(spark, small, monkeypatch, chunks):
+    monkeypatch.setattr(similar, "CHUNK", chunks[0])
+    monkeypatch.setattr(similar, "CHUNK_FULL", chunks[1])
+    rng = random.Random(6)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").limit(100).collect()]
+    for g, length in enumerate((7, 12, 60, 200, 400)):
+        base = [f"w{rng.randrange(900)}" for _ in range(length)]
+        for i in range(12):
+            near = list(base)
+            for _ in range(rng.randrange(1 + length // 30)):
+                near[rng.randrange(length)] = f"x{rng.randrange(9)}"
+            rows.append((10_000 + 100 * g + i, " ".join(near[: length - i % 3])))
+    rows += [(None, rows[-1][1] + " tail"), (None, "nothing is like this text at all"), (20_000, None), (20_001, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    before = [(r.doc_id, r.text) for r in cp.dedup_near(spark, docs, "").collect()]
+    got = [(r.doc_id, r.text) for r in dict(cp.STAGES)["near"](spark, docs, "").collect()]
+    before.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    groups = linked([word_set(t) for _, t in before], alike)
+    assert Counter(got) == Counter(r for i, r in enumerate(before) if groups[i] == i) and len(got) < len(before) - 10
