@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,12 @@ def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only documents without any language go: null texts and such without a letter."""
+    """Only documents without any language go: null texts and such without a letter, also where no language could be learned."""
     predicted, score = fresh(docs.columns, "lang_pred", "score")
-    out = language.identify(docs, language.learn(docs), names=(predicted, score))
+    filters = language.learn(docs)
+    if not filters.languages:  # identify() would find none in any text; one without 3-grams tells texts that have a letter
+        filters = language.Filters({"any": np.empty(0, np.uint64)})
+    out = language.identify(docs, filters, names=(predicted, score))
     return out.where(F.col(predicted) != "und").select(*docs.columns)
 
 

@@ -59,6 +59,13 @@ def test_rows_that_share_an_id(spark):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(set(rows) - {(2, "a b c d e")})
 
 
+def test_language_stage_keeps_texts_where_nothing_could_be_learned(spark, odd, odd_rows):
+    for lang in ("cast(null as string)", "if(doc_id = 4, 'en', null)"):  # crc32('4') % 3 is 1: held out
+        docs = odd.withColumn("lang", F.expr(lang))
+        got = Counter((r.doc_id, r.text) for r in cp.identify_language(spark, docs, "").collect())
+        assert got == Counter(r[:2] for r in odd_rows if any(c.isalpha() for c in r[1] or ""))
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n[:2] == "op" and n[2].isdigit()} == set(range(1, 11))
