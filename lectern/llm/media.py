@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import table
+from lectern.llm.common import staged, table
 
 UNIT, RATE = 576, 8000
 UP, DOWN, TAPS = 2, 3, 12
@@ -34,6 +34,8 @@ BLOCK = 4096
 MADE = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 KEPT = "media binary, tensors binary, segments array<struct<start_s:double,end_s:double>>"
 
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
 
 def padded(data: bytes) -> bytes:
     return data + b"\xff" * (-len(data) % UNIT if data else UNIT)
@@ -145,6 +147,24 @@ def tensors(mels: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def frames_of(stream: bytes) -> np.ndarray:
+    """The log mel energies in hundredths that tensors() was given; the last time span says how many frames there are."""
+    batch = pa.ipc.open_stream(stream).read_next_batch()
+    flat = batch.column("log_mel").storage.flatten().to_numpy()
+    n = round((batch.column("end_s")[-1].as_py() - FRAME * DOWN / UP / RATE) / seconds(1)) + 1
+    return np.rint(flat.reshape(-1, BANDS)[:n] * 100).astype(np.int32)
+
+
+def digests(media: bytes, stream: bytes, segments: list[dict]) -> tuple:
+    """The columns MADE, from the stored WAV file, tensors and segments. Bytes of 255 are filling, as no UTF-8 text has them."""
+    payload = samples(media)
+    mels = frames_of(stream)
+    lengths = [round((s["end_s"] - s["start_s"] - FRAME * DOWN / UP / RATE) / seconds(1)) + 1 for s in segments]
+    print_ = hashlib.sha256(mels.astype("<i4").tobytes()).hexdigest()[:16]
+    feature = f"frames={len(mels)};bands={BANDS};tensors={pa.ipc.open_stream(stream).read_next_batch().num_rows};segments={len(segments)};active={sum(lengths)};log_mel={print_}"
+    return len(bytes(payload).rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+
+
 def features(text: str | None) -> tuple:
     data = (text or "").encode()
     media = wav(padded(data))
@@ -158,14 +178,12 @@ def features(text: str | None) -> tuple:
 
 
 def _rows(column: str, names: list[str], keep: bool):
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 got = [features(x.as_py()) for x in batch.column(column)]
-                more = [pa.array(x, t) for x, t in zip(zip(*(g[0] for g in got), strict=True), kinds, strict=True)]
+                more = [pa.array(x, t) for x, t in zip(zip(*(g[0] for g in got), strict=True), KINDS, strict=True)]
                 if keep:
                     ends = [[{"start_s": seconds(a), "end_s": seconds(b - 1) + FRAME * DOWN / UP / RATE} for a, b in g[3].tolist()] for g in got]
                     more += [pa.array([g[1] for g in got], pa.binary()), pa.array([tensors(g[2]) for g in got], pa.binary()), pa.array(ends, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))]
@@ -185,5 +203,17 @@ def audio_features(docs: DataFrame, text: str = "text", keep: bool = True) -> Da
     return docs.mapInArrow(_rows(text, [*(f.name for f in rest), *made], keep), schema)
 
 
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            got = [digests(m.as_py(), t.as_py(), s.as_py()) for m, t, s in zip(batch.column("media"), batch.column("tensors"), batch.column("segments"), strict=True)]
+            more = [pa.array(x, k) for x, k in zip(zip(*got, strict=True), KINDS, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *more], names=["doc_id", *(x.split()[0] for x in MADE.split(", "))])
+
+
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
+    """Media, tensors and segments are written for every document, and the digests come from what is read back."""
+    made = audio_features(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media", "tensors", "segments")
+    stored = staged(made, "audio")
+    return stored.mapInArrow(_read_back, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, {MADE}")

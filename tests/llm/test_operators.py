@@ -244,6 +244,21 @@ def test_audio_of_odd_rows(odd, odd_rows):
     assert all(len(x) == 1 for x in by.values())
 
 
+def test_audio_query_digests_what_it_stored(spark, small, odd, tmp_path, monkeypatch):
+    for text in (None, "", "a", "x" * 576, "é" * 1000, "long text " * 3000):
+        row, stored, mels, spans = media.features(text)
+        ends = [{"start_s": media.seconds(a), "end_s": media.seconds(b - 1) + media.FRAME * media.DOWN / media.UP / media.RATE} for a, b in spans.tolist()]
+        assert media.digests(stored, media.tensors(mels), ends) == row
+        assert media.digests(stored, media.tensors(mels + 1), ends)[:-1] == row[:-1] and media.digests(stored, media.tensors(mels + 1), ends)[-1] != row[-1]
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    monkeypatch.setattr(media, "staged", lambda df, label, f=media.staged: kept.append(f(df, label)) or kept[-1])
+    got = media.op9_audio_features(spark, str(tmp_path))
+    want = media.audio_features(odd.select("doc_id", "text"), keep=False)
+    assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert kept[0].columns == ["doc_id", "media", "tensors", "segments"] and kept[0].where("tensors is null or media is null").isEmpty()
+
+
 def test_mix_meets_targets(odd, odd_rows):
     got = mixing.mix(odd).collect()
     assert len(got) == len(odd_rows)
