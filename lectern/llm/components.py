@@ -12,20 +12,24 @@ def _state(edges: DataFrame) -> tuple:
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v) edges of any direction -> (u, v): each node that isn't the least of its component, and that least one.
+def _least(edges: DataFrame, own: bool) -> DataFrame:
+    """(u, m): the least neighbour of each node, or itself if `own` and smaller; summed map-side, one row for each node.
+
+    Written first, so that the join that looks it up reads it by an exchange of its own and Spark can split a hub's edges."""
+    least = F.min("v") if not own else F.least(F.min("v"), F.first("u"))
+    return staged(edges.groupBy("u").agg(least.alias("m")), "edges-least")
 
-    Each round writes its edges to the shared folder. Least neighbours are found with map-side sums and joined back, so that a
-    node with very many neighbours is never one task's."""
+
+def components(edges: DataFrame) -> DataFrame:
+    """(u, v) edges of any direction -> (u, v): each node that isn't the least of its component, and that least one."""
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while (state := _state(now)) != before and state[0]:
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = staged(small.where("u <> v").distinct(), "edges")
+        large = both.where("v > u").join(_least(both, True), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = staged(large, "edges-large")
+        least = _least(large, False)
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
     return now
