@@ -1,18 +1,23 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
-A word goes if a window of LENGTH words around it also starts in a document with a smaller doc_id. Suffixes of all texts that agree
-in LENGTH words hang below one deep node of the suffix tree, so each window's answer is the least doc_id below its node.
-
-The tree is never built as one. Of the PREFIX-word prefixes inside a window, that with the least hash is the window's anchor: equal windows
-have equal anchors at equal offsets, so windows are grouped by their anchor's prefix, and neighbouring windows with one
-anchor travel together as a segment (an anchor, some 20 windows). Prefixes that stay within one document have no deep node
-in two documents and go at once. Equal segments become one, with their least doc_id; all others of them are covered. Prefix
-groups with one distinct segment need no tree. The words of remaining segments are fetched, and a subtree is built for each
-prefix group: its suffixes are sorted to depth LENGTH by doubling ranks, the runs of equal suffixes are the deep nodes, and
-each passes its least doc_id up. Groups of more than SEGMENTS distinct segments take longer prefixes, to the full depth at
-once: there a node is one (128-bit) prefix value, and its least doc_id is a map-side sum, so no group is gathered in a task.
-
-Hashes: words 64 bits, window and segment identities 128 bits.
+A word goes if a window of LENGTH words around it also starts in a document with a smaller doc_id. Suffixes of all texts that
+agree in LENGTH words hang below one deep node of the corpus's suffix tree, so a window goes if a smaller doc_id hangs below its node.
+
+The tree is built in parts, each for the suffixes under one prefix, none larger than GROUP segments:
+* Of the PREFIX-word prefixes inside a window, that with the least hash is the window's anchor. Equal windows have equal
+  anchors at equal offsets, so windows are dealt by their anchor's prefix, and neighbouring windows with one anchor travel together
+  as a segment (some 20 windows). Prefixes that stay within one document have no deep node in two documents and go at
+  once. Equal segments become one leaf, with their least and largest doc_id. A prefix with one distinct segment is a path
+  without branches and needs no further work.
+* Prefixes of more than GROUP distinct segments are made longer: each window there is dealt anew by its own first 20, then 35, then all
+  LENGTH words, until GROUP or fewer are left under a prefix. Prefixes in one document go at every step. At full length all
+  windows under a prefix hang below one deep node; its least doc_id is a map-side sum, whatever their number.
+* For every other prefix a subtree is built from the words themselves: its suffixes are sorted by doubling, the ranks kept on the way give the
+  words shared by neighbours, and stretches that share LENGTH words or more are the topmost deep nodes. All
+  nodes below them (longer repeats) have the same leaves or fewer, so the topmost decide what goes.
+
+Hashes (of words 64 bits, of segments and full windows 128 bits) deal windows and fold equal segments; inside subtrees words are
+compared as they are.
 
 Defined cases: null text has no words; a text of under LENGTH words loses none; a row without doc_id neither removes nor loses words;
 rows with the same doc_id don't remove each other's; the kept text of a row from which all goes is empty. An empty table
@@ -31,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lectern.llm.common import fresh, staged, table
+from lectern.llm.common import fresh, slices, staged, table
 
 LENGTH, PREFIX = 50, 12
-#: Distinct segments of a group that a subtree is built for: some 1.2 MB of word hashes.
-SEGMENTS = 2048
+#: Distinct segments (later windows) of a subtree at most, and the lengths to which the prefixes of larger groups grow.
+GROUP, LONGER = 256, (20, 35, LENGTH)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: Words worked on at a time, and words whose hash is remembered.
-BLOCK, REMEMBERED = 1 << 19, 400_000
+#: Bytes of text worked on at a time, and words whose hash is remembered.
+BLOCK, REMEMBERED = 1 << 20, 200_000
 ANCHORS = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("prefix", pa.int64()), ("seg", pa.int64()), ("seg2", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 ANCHORS_DDL = "doc_id bigint, t bigint, prefix bigint, seg bigint, seg2 bigint, start int, n int"
 
@@ -125,114 +130,168 @@ def segments(words: np.ndarray, sizes: np.ndarray):
     return which, prefix[anchor[first]], one(first, length) ^ _mixed(shape), two(first, length), first - starts[which], n
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
-    start, held, out = 0, 0, []
-    for i, x in enumerate(batch.column("text")):
-        out.append((x.as_py() or "").encode().split())
-        held += len(out[-1])
-        if held > BLOCK:
-            yield start, out
-            start, held, out = i + 1, 0, []
-    if out:
-        yield start, out
-
-
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "text", 512, BLOCK):
         ids, ts = (batch.column(c).to_numpy() for c in ("doc_id", "t"))
-        for start, texts in _blocks(batch):
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            found = segments(word_hashes([w for t in texts for w in t]), sizes)
-            if found:
-                which, prefix, seg, seg2, first, n = found
-                row = which + start
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], ts[row], prefix.view(np.int64), seg.view(np.int64), seg2.view(np.int64), first.astype(np.int32), n.astype(np.int32))], schema=ANCHORS)
+        texts = [(x.as_py() or "").encode().split() for x in batch.column("text")]
+        found = segments(word_hashes([w for t in texts for w in t]), np.fromiter(map(len, texts), np.int64, len(texts)))
+        if found:
+            row, prefix, seg, seg2, first, n = found
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], ts[row], prefix.view(np.int64), seg.view(np.int64), seg2.view(np.int64), first.astype(np.int32), n.astype(np.int32))], schema=ANCHORS)
 
 
 SEGMENT = ("prefix", "seg", "seg2")
-FETCHED = pa.schema([("doc_id", pa.int64()), ("prefix", pa.int64()), ("seg", pa.int64()), ("seg2", pa.int64()), ("words", pa.binary())])
-FETCHED_DDL = "doc_id bigint, prefix bigint, seg bigint, seg2 bigint, words binary"
+FETCHED = pa.schema([("doc_id", pa.int64()), ("prefix", pa.int64()), ("seg", pa.int64()), ("seg2", pa.int64()), ("in_group", pa.int64()), ("words", pa.binary())])
+FETCHED_DDL = "doc_id bigint, prefix bigint, seg bigint, seg2 bigint, in_group bigint, words binary"
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes of each wanted segment."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, 256):
-            batch, out = whole.slice(start, 256), []
-            for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-                hashes = word_hashes((text.as_py() or "").encode().split())
-                for w in wanted:
-                    out.append((doc_id, w["prefix"], w["seg"], w["seg2"], hashes[w["start"] : w["start"] + w["n"] + LENGTH - 1].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), FETCHED.types, strict=True)], schema=FETCHED)
-
-
-def deep_nodes(group: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For suffixes at `starts`, the number of their node at depth LENGTH in the subtree of their group; words end with LENGTH spare ones."""
-    def ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique(a.astype(np.uint64) * np.uint64(int(b.max(initial=0)) + 1) + b.astype(np.uint64), return_inverse=True)[1]
-
-    rank, depth = ranked(group, np.unique(words, return_inverse=True)[1]), 1
-    while depth < LENGTH:
-        step = min(depth, LENGTH - depth)
-        rank, depth = ranked(rank, np.append(rank[step:], np.zeros(step, rank.dtype))), depth + step
-    return rank[starts]
+    """The words of each wanted segment."""
+    for batch in slices(batches, "text", 256):
+        out = []
+        for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+            words = (text.as_py() or "").encode().split()
+            for w in wanted:
+                out.append((doc_id, w["prefix"], w["seg"], w["seg2"], w["in_group"], b" ".join(words[w["start"] : w["start"] + w["n"] + LENGTH - 1])))
+                if len(out) == 4096:
+                    yield _batch(out, FETCHED)
+                    out = []
+        if out:
+            yield _batch(out, FETCHED)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of each pair (a, b) in their order."""
+    return np.unique(a.astype(np.uint64) * np.uint64(int(b.max(initial=0)) + 1) + b.astype(np.uint64), return_inverse=True)[1]
+
+
+def suffix_order(group: np.ndarray, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `starts` ordered by group and suffix, and how many symbols each shares with the one before it (in its group).
+
+    Every segment in `symbols` ends with a symbol found nowhere else, so suffixes differ at last."""
+    ranks, depth = [_dense(group, symbols)], 1
+    while int(ranks[-1].max(initial=0)) + 1 < len(symbols):
+        ranks.append(_dense(ranks[-1], np.append(ranks[-1][depth:] + 1, np.zeros(min(depth, len(symbols)), np.int64))))
+        depth *= 2
+    order = np.argsort(ranks[-1][starts], kind="stable")
+    at = starts[order]
+    shared = np.zeros(max(len(at) - 1, 0), np.int64)
+    for level in reversed(range(len(ranks) - 1)):  # a step of 2**level where the next 2**level symbols are equal
+        a, b = at[:-1] + shared, at[1:] + shared
+        shared += np.where(ranks[level][a] == ranks[level][b], 1 << level, 0)
+    return order, np.append(0, shared)[: len(at)]
+
+
+def deep_nodes(group: np.ndarray, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For segments in prefix groups: segment, offset and topmost node of LENGTH words or more of each of their windows."""
+    sizes = np.array([len(w) for w in words])
+    numbers: dict[bytes, int] = {}
+    laid = np.empty(int(sizes.sum()) + len(words), np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    ends_mask = np.zeros(len(laid), bool)
+    ends_mask[ends] = True
+    laid[~ends_mask] = np.fromiter((numbers.setdefault(w, len(numbers)) for x in words for w in x), np.int64, int(sizes.sum()))
+    laid[ends] = len(numbers) + np.arange(len(words))
+    n = np.maximum(sizes - LENGTH + 1, 0)
+    which = np.repeat(np.arange(len(words)), n)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    order, shared = suffix_order(np.repeat(group, sizes + 1), laid, (ends - sizes)[which] + offset)
+    return which[order], offset[order], np.cumsum(shared < LENGTH) - 1
 
 
+ROW = pa.schema([("group", pa.int64()), ("doc_id", pa.int64()), ("prefix", pa.int64()), ("seg", pa.int64()), ("seg2", pa.int64()), ("at", pa.int32()), ("words", pa.binary())])
+ROW_DDL = "group bigint, doc_id bigint, prefix bigint, seg bigint, seg2 bigint, at int, words binary"
 FLAGGED = pa.schema([("prefix", pa.int64()), ("seg", pa.int64()), ("seg2", pa.int64()), ("flags", pa.list_(pa.int32()))])
 FLAGGED_DDL = "prefix bigint, seg bigint, seg2 bigint, flags array<int>"
 
 
-def subtree_flags(doc: np.ndarray, key: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
+def subtree_flags(doc: np.ndarray, key: np.ndarray, words: list[list[bytes]]) -> list[np.ndarray]:
     """For whole prefix groups (key): of each segment, the windows that a smaller document has too."""
-    sizes = np.array([len(w) for w in words])
-    starts, n = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
-    which = np.repeat(np.arange(len(words)), n)
-    offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    number = np.unique(key, return_inverse=True)[1]
-    laid = np.concatenate([*words, np.zeros(LENGTH, np.uint64)])
-    node = deep_nodes(np.append(np.repeat(number, sizes), np.zeros(LENGTH, number.dtype)), laid, starts[which] + offset)
-    least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
+    which, offset, node = deep_nodes(np.unique(key, return_inverse=True)[1], words)
+    least = np.full(int(node.max(initial=0)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, node, doc[which])
     hit = least[node] < doc[which]
-    return np.split(offset[hit], np.searchsorted(which[hit], np.arange(1, len(words))))
+    which, offset = which[hit], offset[hit]
+    by = np.lexsort((offset, which))
+    return np.split(offset[by], np.searchsorted(which[by], np.arange(1, len(words))))
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by prefix; the last group of a batch waits for the next batch."""
+    """Rows of ROW sorted by group; the last group of a batch waits for the next batch."""
     def done(t: pa.Table) -> pa.RecordBatch:
-        words = [np.frombuffer(w.as_buffer(), np.uint64) for w in t["words"]]
-        flags = subtree_flags(t["doc_id"].to_numpy(), t["prefix"].to_numpy(), words)
+        words, at = [w.split(b" ") for w in t["words"].to_pylist()], t["at"].to_numpy()
+        flags = subtree_flags(t["doc_id"].to_numpy(), t["group"].to_numpy(), words)
         some = [i for i, f in enumerate(flags) if len(f)]
         picked = t.select(list(SEGMENT)).take(pa.array(some, pa.int64())).combine_chunks()
-        return pa.RecordBatch.from_arrays([*(picked[c].combine_chunks() for c in SEGMENT), pa.array([flags[i] for i in some], pa.list_(pa.int32()))], schema=FLAGGED)
-
-    held = FETCHED.empty_table()
-    for batch in batches:
-        for start in range(0, batch.num_rows, 2048):
-            held = pa.concat_tables([held, pa.Table.from_batches([batch.slice(start, 2048)])])
-            prefix = held["prefix"].to_numpy()
-            cut = int(np.searchsorted(prefix, prefix[-1]))
-            if cut:
-                yield done(held.slice(0, cut))
-                held = held.slice(cut).combine_chunks()
-    if len(held):
+        return pa.RecordBatch.from_arrays([*(picked[c].combine_chunks() for c in SEGMENT), pa.array([flags[i] + at[i] for i in some], pa.list_(pa.int32()))], schema=FLAGGED)
+
+    held = None
+    for batch in slices(batches, "words", 1024):
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        group = held["group"].to_numpy()
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield done(held.slice(0, cut))
+            held = held.slice(cut).combine_chunks()
+    if held is not None:
         yield done(held)
 
 
-def _full_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of a segment as a prefix of full depth."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, 4096):
-            batch = whole.slice(start, 4096)
-            words = [np.frombuffer(w.as_buffer(), np.uint64) for w in batch.column("words")]
-            sizes = np.array([len(w) for w in words])
-            n, starts, laid = sizes - LENGTH + 1, np.cumsum(sizes) - sizes, np.concatenate(words)
-            which = np.repeat(np.arange(len(words)), n)
-            offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            h = [Rolled(laid, b)(starts[which] + offset, LENGTH).view(np.int64) for b in BASES]
-            same = [batch.column(c).take(pa.array(which)) for c in ("doc_id", *SEGMENT)]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(offset.astype(np.int32)), *(pa.array(x) for x in h)], names=["doc_id", *SEGMENT, "at", "h", "h2"])
+KEYS = [f"k{n}" for n in LONGER]
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("prefix", pa.int64()), ("seg", pa.int64()), ("seg2", pa.int64()), ("at", pa.int32()), *((k, pa.int64()) for k in KEYS), ("check", pa.int64())])
+WINDOWS_DDL = ", ".join(["doc_id bigint, prefix bigint, seg bigint, seg2 bigint, at int", *(f"{k} bigint" for k in KEYS), "check bigint"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of a segment with hashes of its first words, at every length of LONGER (at the last, `check` is a second one)."""
+    for batch in slices(batches, "words", 1024, 1 << 19):
+        words = [word_hashes(w.split(b" ")) for w in batch.column("words").to_pylist()]
+        sizes = np.array([len(w) for w in words])
+        n, starts, laid = sizes - LENGTH + 1, np.cumsum(sizes) - sizes, np.concatenate(words)
+        which = np.repeat(np.arange(len(words)), n)
+        offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        one, two = (Rolled(laid, b) for b in BASES)
+        own = _mixed(batch.column("prefix").to_numpy().view(np.uint64))[which]
+        hashes = [_mixed(one(starts[which] + offset, length) ^ own).view(np.int64) for length in LONGER]
+        same = [batch.column(c).take(pa.array(which)) for c in ("doc_id", *SEGMENT)]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(offset.astype(np.int32)), *(pa.array(h) for h in hashes), pa.array(two(starts[which] + offset, LENGTH).view(np.int64))], schema=WINDOWS)
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of segments with `dealt` (at, group): the words of those windows."""
+    for batch in slices(batches, "words", 256, 1 << 19):
+        out = []
+        for doc_id, prefix, seg, seg2, words, dealt in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *SEGMENT, "words", "dealt")), strict=True):
+            cut = words.split(b" ")
+            out += [(d["group"], doc_id, prefix, seg, seg2, d["at"], b" ".join(cut[d["at"] : d["at"] + LENGTH])) for d in dealt]
+        if out:
+            yield _batch(out, ROW)
+
+
+def _hot_flags(hot: DataFrame) -> DataFrame:
+    """(prefix, seg, seg2, flags) of the segments (FETCHED) of crowded prefixes, which are made longer step by step."""
+    rest, fits, flags = staged(hot.mapInArrow(_windows, WINDOWS_DDL), "windows"), None, None
+    for key, last in zip(KEYS, [False] * (len(KEYS) - 1) + [True], strict=True):
+        own = [key, "check"] if last else [key]
+        in_two = staged(rest.groupBy(*own).agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "longer-prefixes")
+        met = staged(rest.join(in_two, own), "windows-dealt")
+        fit = met.where(F.col("n") <= GROUP).select(*SEGMENT, F.struct("at", F.col(key).alias("group")).alias("one"))
+        fits = fit if fits is None else fits.unionByName(fit)
+        rest = met.where(F.col("n") > GROUP)
+        if rest.isEmpty():
+            break
+        if last:
+            flags = rest.where("lo < doc_id").groupBy(*SEGMENT).agg(F.collect_set("at").alias("flags"))
+        rest = rest.drop("n", "lo")
+    dealt = staged(fits.groupBy(*SEGMENT).agg(F.collect_list("one").alias("dealt")), "windows-wanted")
+    rows = hot.join(dealt, list(SEGMENT)).mapInArrow(_cut_out, ROW_DDL).repartition("group").sortWithinPartitions("group")
+    found = rows.mapInArrow(_subtrees, FLAGGED_DDL)
+    return found if flags is None else found.unionByName(flags)
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -245,19 +304,17 @@ def covered(docs: DataFrame) -> DataFrame:
     distinct = staged(distinct.select(*SEGMENT, "least.*", "hi"), "segments")
 
     groups = staged(distinct.groupBy("prefix").agg(F.count("*").alias("in_group")).where("in_group > 1"), "prefix-groups")
-    in_trees = distinct.join(groups, "prefix").groupBy("doc_id", "t").agg(F.collect_list(F.struct(*SEGMENT, "start", "n")).alias("wanted"))
+    in_trees = distinct.join(groups, "prefix").groupBy("doc_id", "t").agg(F.collect_list(F.struct(*SEGMENT, "start", "n", "in_group")).alias("wanted"))
     texts = docs.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "text")
     asked = in_trees.join(texts, (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("dt"))).select("doc_id", "text", "wanted")
     fetched = staged(asked.mapInArrow(_fetched, FETCHED_DDL), "segment-words")
 
-    sized = fetched.join(groups, "prefix")
-    small = sized.where(F.col("in_group") <= SEGMENTS).drop("in_group").repartition("prefix").sortWithinPartitions("prefix")
-    flags = small.select(*FETCHED.names).mapInArrow(_subtrees, FLAGGED_DDL)
-    large = sized.where(F.col("in_group") > SEGMENTS).select(*FETCHED.names)
-    windows = staged(large.mapInArrow(_full_depth, "doc_id bigint, prefix bigint, seg bigint, seg2 bigint, at int, h bigint, h2 bigint"), "full-depth")
-    nodes = staged(windows.groupBy("h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "full-depth-nodes")
-    deep = windows.join(nodes, ["h", "h2"]).where("lo < doc_id").groupBy(*SEGMENT).agg(F.collect_set("at").alias("flags"))
-    flags = flags.unionByName(deep)
+    fit = fetched.where(F.col("in_group") <= GROUP).select(F.col("prefix").alias("group"), "doc_id", *SEGMENT, F.lit(0).alias("at"), "words")
+    flags = fit.repartition("group").sortWithinPartitions("group").mapInArrow(_subtrees, FLAGGED_DDL)
+    hot = fetched.where(F.col("in_group") > GROUP)
+    if not hot.isEmpty():
+        flags = flags.unionByName(_hot_flags(hot))
+    flags = staged(flags, "segment-flags").groupBy(*SEGMENT).agg(F.flatten(F.collect_list("flags")).alias("flags"))
 
     told = staged(distinct.select(*SEGMENT, F.col("doc_id").alias("lo"), "hi").join(flags, list(SEGMENT), "left").where("hi > lo or flags is not null").drop("hi"), "segments-told")
     hits = places.join(told, list(SEGMENT))
@@ -268,23 +325,22 @@ def covered(docs: DataFrame) -> DataFrame:
 
 def _kept(whole_text: str, covering: str, names: list[str], keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch, out = whole.slice(start, 256), []
-                for text, spans in zip(batch.column(whole_text), batch.column(covering).to_pylist(), strict=True):
-                    words = (text.as_py() or "").encode().split()
-                    n, kept = len(words), words
-                    if spans:
-                        step = np.zeros(n + 1, np.int64)
-                        np.add.at(step, [s["first"] for s in spans], 1)
-                        np.add.at(step, [s["last"] for s in spans], -1)
-                        kept = [words[i] for i in np.flatnonzero(np.cumsum(step)[:n] == 0).tolist()]
-                    joined = b" ".join(kept)
-                    row = n, n - len(kept), hashlib.sha256(joined).hexdigest()
-                    out.append((*row, joined.decode()) if keep else row)
-                rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (whole_text, covering)]
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([*rest, *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=False))], names=names)
+        for batch in slices(batches, whole_text, 256):
+            out = []
+            for text, spans in zip(batch.column(whole_text), batch.column(covering).to_pylist(), strict=True):
+                words = (text.as_py() or "").encode().split()
+                n, kept = len(words), words
+                if spans:
+                    step = np.zeros(n + 1, np.int64)
+                    np.add.at(step, [s["first"] for s in spans], 1)
+                    np.add.at(step, [s["last"] for s in spans], -1)
+                    kept = [words[i] for i in np.flatnonzero(np.cumsum(step)[:n] == 0).tolist()]
+                joined = b" ".join(kept)
+                row = n, n - len(kept), hashlib.sha256(joined).hexdigest()
+                out.append((*row, joined.decode()) if keep else row)
+            rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (whole_text, covering)]
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=False))], names=names)
 
     return run
 

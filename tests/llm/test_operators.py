@@ -53,20 +53,51 @@ def test_substrings_equal_the_plain_version(odd, odd_rows):
         assert sha(r.kept) == r.kept_sha256
 
 
-@pytest.mark.parametrize("limit", [10, 2048])
+@pytest.mark.parametrize("limit", [4, 10, 256])
 def test_substrings_of_hot_passages_with_many_edges(spark, monkeypatch, limit):
-    """Over SEGMENTS different texts around one passage: prefixes of full depth."""
-    monkeypatch.setattr(substrings, "SEGMENTS", limit)
+    """Over GROUP different texts around one passage: longer prefixes."""
+    monkeypatch.setattr(substrings, "GROUP", limit)
     rng = random.Random(2)
     passage = [f"p{i}" for i in range(70)]
     rows = [(i, " ".join([f"a{rng.randrange(99)}" for _ in range(40)] + passage[rng.randrange(15) :] + [f"b{rng.randrange(99)}" for _ in range(40)])) for i in range(150)]
     rows += [(150 + i, " ".join(["only", "these"] * 60)) for i in range(3)]
+    rows += [(160 + i, " ".join(passage[:25] + [f"c{i // 2}"] * 3 + passage[28:] + [f"d{i // 3}"] * 9)) for i in range(30)]
     want = plain_substrings(rows)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(df, keep=False).collect()}
     assert got == {i: want[i, t] for i, t in rows}
 
 
+def test_suffixes_are_in_order_and_share_what_they_say(monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(substrings, "LENGTH", 4)
+    words = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(4, 30))] for _ in range(40)] + [[b"a"] * 20] * 3
+    group = np.array([i // 9 for i in range(len(words))])
+    which, offset, node = substrings.deep_nodes(group, words)
+    assert Counter(zip(which.tolist(), offset.tolist(), strict=True)) == Counter((i, o) for i, w in enumerate(words) for o in range(len(w) - 3))
+    nodes = {}
+    for i, o, n in zip(which.tolist(), offset.tolist(), node.tolist(), strict=True):
+        nodes.setdefault((group[i], tuple(words[i][o : o + 4])), set()).add(n)
+    assert all(len(x) == 1 for x in nodes.values()) and len(nodes) == node.max() + 1
+
+    laid, starts, owner = [], [], []
+    for i, w in enumerate(words):
+        starts += range(len(laid), len(laid) + len(w))
+        owner += [i] * (len(w) + 1)
+        laid += [{b"a": 0, b"b": 1, b"c": 2}[x] for x in w] + [10 + i]
+    order, shared = substrings.suffix_order(group[owner], np.array(laid), np.array(starts))
+
+    def suffix(k):
+        at = starts[k]
+        return group[owner[at]], laid[at : laid.index(10 + owner[at]) + 1]
+
+    told = [suffix(k) for k in order.tolist()]
+    assert told == sorted(told)
+    for x, y, n in zip(told, told[1:], shared[1:].tolist(), strict=False):
+        same = next((i for i, (p, q) in enumerate(zip(x[1], y[1], strict=False)) if p != q), 0) if x[0] == y[0] else 0
+        assert n == same
+
+
 def test_pieces_equal_the_library(odd):
     e = pieces.Encoder(pieces.default_model())
     texts = ["", " ", "  a", "\n", "a\n\nb", "▁x ▁▁", "a\tb", "日本語 テスト🎉", "x" * 300 + " " * 40 + "y", "<s> </s> <0x0A>", "\x00a"]
