@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import fresh, staged
+from lectern.llm.common import fresh, give_back, slices, staged
 from lectern.llm.components import components
 from lectern.llm.simhash import shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BINS, PROBABLE = 64, 0.5
-#: Texts in a chunk, when sketches and when shingles are compared; shingles or pairs compared at a time.
-CHUNK, CHUNK_FULL, COLUMNS = 512, 128, 4096
+#: Texts in a chunk, when sketches and when shingles are compared; shingles or pairs compared at a time; shingles of a group counted at a time.
+CHUNK, CHUNK_FULL, COLUMNS, COUNTED = 512, 128, 4096, 1 << 18
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -44,17 +44,15 @@ def sketch(found: np.ndarray) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 1024):
-            batch = whole.slice(start, 1024)
-            sizes, marks, least = [], [], []
-            for x in batch.column("text"):
-                found = shingles(x.as_py())
-                n = len(found)
-                sizes.append(n), marks.append(sketch(found).tobytes())
-                least.append(found[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1 if n else 0].view(np.int64).copy())
-            columns = [batch.column("t"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(least, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["t", "n", "sketch", "least"])
+    for batch in slices(batches, "text"):
+        sizes, marks, least = [], [], []
+        for x in batch.column("text"):
+            found = shingles(x.as_py())
+            n = len(found)
+            sizes.append(n), marks.append(sketch(found).tobytes())
+            least.append(found[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1 if n else 0].view(np.int64).copy())
+        columns = [batch.column("t"), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(least, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["t", "n", "sketch", "least"])
 
 
 def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,6 +89,8 @@ def _by_key(batches: Iterator[pa.RecordBatch], links) -> Iterator[pa.RecordBatch
             held = held.slice(cut)
     if held is not None:
         yield done(held)
+    held = None
+    give_back()
 
 
 def probable_links(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -112,22 +112,32 @@ def probable_links(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of similarity SIMILARITY or more."""
+    """All pairs of similarity SIMILARITY or more; the sets are ordered, and counted by ranges of hashes so that memory is bounded."""
     n = np.array([len(s) for s in sets])
+    both = np.zeros((len(sets), len(sets)), np.int32)
+    ranges = 1 + int(n.sum()) // COUNTED
+    bounds = [int(i * 2**64 // ranges) for i in range(1, ranges)]
+    cuts = [np.concatenate([[0], np.searchsorted(s, np.array(bounds, np.uint64)), [len(s)]]) for s in sets]
+    for r in range(ranges):
+        _count_shared([s[c[r] : c[r + 1]] for s, c in zip(sets, cuts, strict=True)], both)
+    either = n[:, None] + n[None, :] - both
+    return np.nonzero(np.triu(both >= SIMILARITY * either - 1e-6, 1))
+
+
+def _count_shared(sets: list[np.ndarray], both: np.ndarray) -> None:
+    """Adds to both[i, j] how many members sets i and j have in common."""
+    n = [len(s) for s in sets]
     owner = np.repeat(np.arange(len(sets), dtype=np.int32), n)
     _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     holders = owner[np.argsort(which, kind="stable")]  # by shingle
     starts = np.cumsum(times) - times
-    both = np.zeros((len(sets), len(sets)), np.int64)
     for i, own in enumerate(np.split(which, np.cumsum(n)[:-1])):
         own = own[times[own] > 1]
         for at in range(0, len(own), COLUMNS):
             part = own[at : at + COLUMNS]
             size = times[part]
             place = np.repeat(starts[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            both[i] += np.bincount(holders[place], minlength=len(sets))
-    either = n[:, None] + n[None, :] - both
-    return np.nonzero(np.triu(both >= SIMILARITY * either - 1e-6, 1))
+            both[i] += np.bincount(holders[place], minlength=len(sets)).astype(np.int32)
 
 
 def verified_links(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -151,11 +161,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 256):
-            batch = whole.slice(start, 256)
-            found = pa.array([shingles(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("root"), batch.column("count"), found], names=["t", "root", "count", "found"])
+    for batch in slices(batches, "text", 256):
+        found = pa.array([shingles(x.as_py()).tobytes() for x in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("root"), batch.column("count"), found], names=["t", "root", "count", "found"])
 
 
 def _dealt(rows: DataFrame, key: str, chunk: int) -> DataFrame:
