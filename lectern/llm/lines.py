@@ -105,11 +105,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     met = met.drop(d, kt, t)
 
     def rebuilt(lines: Column, chunks: Column) -> Column:
-        goes = F.filter(chunks, lambda c: F.array_contains(F.col(gone), c["no"]))
-        stays = F.filter(chunks, lambda c: ~F.array_contains(F.col(gone), c["no"]))
+        stays = F.array_except(F.sequence(F.lit(1), F.size(chunks)), gone)  # by a hash set, in order
         return F.struct(
-            F.size(lines).cast("long").alias("n"), F.aggregate(goes, F.lit(0), lambda a, c: a + c["n"]).cast("long").alias("gone"),
-            F.array_join(F.flatten(F.transform(stays, lambda c: F.slice(lines, c["first"], c["n"]))), "\n").alias("text"),
+            F.size(lines).cast("long").alias("n"), F.aggregate(gone, F.lit(0), lambda a, no: a + F.get(chunks, no - 1)["n"]).cast("long").alias("gone"),
+            F.array_join(F.flatten(F.transform(stays, lambda no: F.slice(lines, F.get(chunks, no - 1)["first"], F.get(chunks, no - 1)["n"]))), "\n").alias("text"),
         )
 
     touched = met.where(F.col(gone).isNotNull()).withColumn(made, with_chunks(text, rebuilt, least))
