@@ -5,7 +5,7 @@ score, then from the left; the best is merged, pairs that no longer stand are pa
 agenda is empty. What is left and not in the vocabulary falls back to its bytes.
 Texts are cut into chunks only where no piece of the vocabulary can reach across (which is looked up in the vocabulary when it
 is loaded: between other text and a blank, and around control characters), so chunks are encoded on their own and
-remembered, up to a fixed number. In every Arrow batch each chunk not remembered, and one whole text, is held
+remembered, up to a fixed number of characters (a longer chunk than KEPT is not). In every slice of an Arrow batch each chunk not remembered, and one whole text, is held
 against the library; a difference fails the query.
 
 Defined cases: null is the empty text, which has no ids and decodes to the empty text; U+2581 in a text counts as a blank, as
@@ -25,10 +25,11 @@ from operator import add
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import table
+from lectern.llm.common import slices, table
 
 BLANK = "▁"
-REMEMBERED = 250_000
+#: Characters of the chunks remembered in one of two generations, and of the longest such chunk.
+REMEMBERED, KEPT = 800_000, 256
 #: Up to so many characters an agenda is a list, beyond a heap.
 SHORT = 48
 NEVER = float("inf")
@@ -104,28 +105,35 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts; remembers the chunks of late, in two generations."""
+    """Encodes texts; remembers the chunks of late, in two generations of bounded size."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         v = self.vocabulary
         cut = [v.cut(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        fresh = []
+        fresh, long = [], []
         for c in set(chain.from_iterable(cut)):
             if c not in self.young:
                 if (known := self.old.get(c)) is None:
                     known = v.merged(c)
                     fresh.append(c)
                 self.young[c] = known
+                if len(c) > KEPT:
+                    long.append(c)
+                else:
+                    self.held += len(c)
         self._check(fresh)
         get = self.young.__getitem__
         out = [list(chain.from_iterable(map(get, x))) for x in cut]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
+        for c in long:
+            del self.young[c]
+        if self.held > REMEMBERED:
+            self.old, self.young, self.held = self.young, {}, 0
         return out
 
     def _check(self, chunks: list[str]) -> None:
@@ -147,20 +155,18 @@ def _encoded(path: str, column: str, names: list[str], keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         library, digits = e.vocabulary.library, e.vocabulary.digits
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                texts = [t or "" for t in batch.column(column).to_pylist()]
-                ids = e.encode(texts)
-                if not start and library.encode(texts[0], num_threads=1) != ids[0]:
-                    raise ValueError("the library encodes a text otherwise")
-                back = library.decode(ids, num_threads=1) if ids else []
-                sha = [hashlib.sha256(",".join(map(digits.__getitem__, x)).encode()).hexdigest() for x in ids]
-                more = [pa.array(map(len, ids), pa.int64()), pa.array(sha), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back])]
-                if keep:
-                    more += [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())]
-                rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != column]
-                yield pa.RecordBatch.from_arrays([*rest, *more], names=names)
+        for batch in slices(batches, column):
+            texts = [t or "" for t in batch.column(column).to_pylist()]
+            ids = e.encode(texts)
+            if library.encode(texts[0], num_threads=1) != ids[0]:
+                raise ValueError("the library encodes a text otherwise")
+            back = library.decode(ids, num_threads=1) if ids else []
+            sha = [hashlib.sha256(",".join(map(digits.__getitem__, x)).encode()).hexdigest() for x in ids]
+            more = [pa.array(map(len, ids), pa.int64()), pa.array(sha), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back])]
+            if keep:
+                more += [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())]
+            rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != column]
+            yield pa.RecordBatch.from_arrays([*rest, *more], names=names)
 
     return run
 
