@@ -15,6 +15,7 @@ QUERIES = {
     "op10_water_filling": mixing.op10_water_filling,
 }
 ORACLE_SQL = {
+    "op1_histogram_sort": sharding.SQL,
     "op2_suffix_trees": substrings.SQL,
     "op5_line_chunks": lines.SQL,
     "op6_chunked_warc": warc.SQL,
