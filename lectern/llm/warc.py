@@ -7,11 +7,13 @@ piece, and never holds a whole record. Records of one row are read where they li
 record, in order of chunk_no.
 
 Records with equal payloads of at least LEAST_REVISIT bytes: the one with the largest page_id is a response, the others
-revisit it. Equality goes by SHA-1 and length.
+revisit it. Equality goes by SHA-1 and length. A record's id is made of its page_id and payload digest, so that a revisit can
+name the record it refers to without looking it up.
 
 Defined cases: null html is an empty payload; a null page_id is never the one referred to (without any page_id all are
-responses); rows with the page_id that others refer to are all responses; line ends in a url become blanks; null url: none.
-An empty table gives an empty archive.
+responses; their records are numbered instead); rows with the page_id that others refer to are all responses; rows equal in page_id
+and payload are one record written twice, under one id; line ends in a url become blanks, and a url may be of any length; null url: none.
+Other columns of the pages aren't archived. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import staged, table
+from lectern.llm.common import slices, staged, table
 
 LEAST_REVISIT = 1000
 CHUNK = 64 * 1024
@@ -37,6 +39,10 @@ PAGES = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("pay
 PAGES_DDL = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, n_chunks int"
 
 
+def named(page_id: int, digest: str) -> str:
+    return f"urn:lectern:page:{page_id}:{digest}"
+
+
 def header(page_id: int | None, record_id: str, kind: str, url: str | None, digest: str, size: int, refers_to: int | None) -> bytes:
     lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
@@ -45,7 +51,7 @@ def header(page_id: int | None, record_id: str, kind: str, url: str | None, dige
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:lectern:page:{refers_to}>", f"X-Payload-Length: {size}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{named(refers_to, digest)}>", f"X-Payload-Length: {size}"]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if kind == 'revisit' else size}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
@@ -54,12 +60,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     archive, seq, rows, held = TaskContext.get().partitionId(), 0, [], 0
-    for batch in batches:
+    for batch in slices(batches, "payload"):
         payloads = batch.column("payload")
         ids, urls, digests, refs = (batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to"))
         for i, (page_id, url, digest, ref) in enumerate(zip(ids, urls, digests, refs, strict=True)):
             body, kind = memoryview(payloads[i].as_buffer()), "response" if ref is None else "revisit"
-            record_id = f"urn:lectern:page:{page_id}:{archive}-{seq}"
+            record_id = named(page_id, digest) if page_id is not None else f"urn:lectern:record:{archive}-{seq}"
             front, state, at, n = header(page_id, record_id, kind, url, digest, len(body), ref), hashlib.sha1(), 0, 0
             if kind == "revisit":
                 body = body[:0]
@@ -70,7 +76,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = at == len(body)
                 rows.append((archive, seq, record_id, n, last, b"".join((front, piece, b"\r\n\r\n" if last else b"")), state.hexdigest()))
                 held, n, front = held + len(rows[-1][5]), n + 1, b""
-                if held > 64 * CHUNK:
+                if held > 32 * CHUNK:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), CHUNKS.types, strict=True)], schema=CHUNKS)
                     rows, held = [], 0
                 if last:
@@ -87,10 +93,12 @@ def write_archives(pages: DataFrame) -> DataFrame:
     base = base.withColumns({"size": F.octet_length("payload"), "digest": F.sha1("payload")})
     long_ones = base.where(F.col("size") >= LEAST_REVISIT)
     copied = long_ones.groupBy("digest", "size").agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).where("n > 1 and chosen is not null").drop("n")
-    met = base.join(copied, ["digest", "size"], "left")
+    # Written first: the join reads it by an exchange of its own, and Spark can split the pages of a popular payload.
+    met = long_ones.join(staged(copied, "warc-copied"), ["digest", "size"], "left")
     other = F.col("chosen").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("chosen"))
     out = met.select("page_id", "url", "payload", "digest", F.when(other, F.col("chosen")).alias("refers_to"))
-    return out.mapInArrow(_chunks, CHUNKS_DDL)
+    short = base.where(F.col("size") < LEAST_REVISIT).select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"))
+    return out.unionByName(short).mapInArrow(_chunks, CHUNKS_DDL)
 
 
 class Record:
@@ -104,7 +112,7 @@ class Record:
             raise ValueError(f"{self.id}: chunk {number} where {self.n} was due")
         self.n += 1
         if self.fields is None:
-            front, gap, _ = bytes(data[:65536]).partition(b"\r\n\r\n")
+            front, gap, _ = bytes(data).partition(b"\r\n\r\n")  # a record's first chunk holds its whole header
             if not gap or not front.startswith(b"WARC/1."):
                 raise ValueError(f"{self.id}: no WARC header")
             lines = front.decode().split("\r\n")[1:]
@@ -122,7 +130,7 @@ class Record:
         f, kind = self.fields, self.fields["warc-type"]
         stated = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
         if kind == "revisit":
-            refers_to, size, digest = int(f["warc-refers-to"].strip("<>").rpartition(":")[2]), int(f["x-payload-length"]), stated
+            refers_to, size, digest = int(f["warc-refers-to"].strip("<>").split(":")[3]), int(f["x-payload-length"]), stated
         else:
             refers_to, size, digest = None, self.size, self.sha.hexdigest()
             if digest != stated:
@@ -131,14 +139,14 @@ class Record:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now = None
-    for batch in batches:
+    now, place = None, None
+    for batch in slices(batches, "data"):
         data, rows = batch.column("data"), []
-        ids, numbers, lasts, shas = (batch.column(c).to_pylist() for c in ("record_id", "chunk_no", "last", "sha1_so_far"))
-        for i, (record_id, number, last, sha) in enumerate(zip(ids, numbers, lasts, shas, strict=True)):
+        columns = (batch.column(c).to_pylist() for c in ("archive", "seq", "record_id", "chunk_no", "last", "sha1_so_far"))
+        for i, (archive, seq, record_id, number, last, sha) in enumerate(zip(*columns, strict=True)):
             if now is None:
-                now = Record(record_id)
-            elif now.id != record_id:
+                now, place = Record(record_id), (archive, seq)
+            elif place != (archive, seq):
                 raise ValueError(f"{now.id} has no end")
             now.feed(number, memoryview(data[i].as_buffer()), sha, last)
             if last:
@@ -153,7 +161,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(chunks: DataFrame) -> DataFrame:
     """The records of a chunk table; raises where a length or digest is wrong."""
     whole = chunks.where("chunk_no = 0 and last").mapInArrow(_records, PAGES_DDL)
-    parts = chunks.where("not (chunk_no = 0 and last)").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    parts = chunks.where("not (chunk_no = 0 and last)").repartition("archive", "seq").sortWithinPartitions("archive", "seq", "chunk_no")
     return whole.unionByName(parts.mapInArrow(_records, PAGES_DDL))
 
 
