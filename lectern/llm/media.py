@@ -6,8 +6,9 @@ used), cut into half-overlapping frames, and turned into the log energies of mel
 their energy passes an upper level until it falls below a lower one; each such stretch is a segment with its time span.
 Frames are grouped into tensors of fixed shape (FRAMES, BANDS), the last one filled up with its own last frame, each with its
 time span, and kept as an Arrow record batch with a fixed-shape-tensor column.
-Sound is worked through in blocks, so memory is bounded however long a text is. Values are rounded to hundredths and depend on
-the text alone.
+Taps, window, sines and mel weights are whole numbers, and so is every sum over them (below 2**53, so that it is exact in any
+order); logarithms are looked up. Features are therefore the same on every machine and however a sound is cut into blocks.
+Sound is worked through in blocks, so memory is bounded by the payload and its features.
 
 Defined cases: a null text is the empty one, whose payload is 576 bytes of 255; equal texts give equal values; an empty table
 gives no rows.
@@ -16,6 +17,7 @@ gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,12 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import staged, table
+from lectern.llm.common import slices, staged, table
 
 UNIT, RATE = 576, 8000
 UP, DOWN, TAPS = 2, 3, 12
 FRAME, HOP, BANDS, FRAMES = 256, 128, 16, 32
-BLOCK = 4096
+BLOCK = 1024
+#: Bits of the fractions of taps, window, sines and mel weights; bits dropped after the filter and the transform; steps of an octave.
+TAP_BITS, WINDOW_BITS, SINE_BITS, MEL_BITS, DROP_SOUND, DROP_SPECTRUM, STEPS = 12, 8, 10, 6, 6, 18, 256
 MADE = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 KEPT = "media binary, tensors binary, segments array<struct<start_s:double,end_s:double>>"
 
@@ -69,7 +73,7 @@ def phases() -> np.ndarray:
     cut = min(1.0, UP / DOWN)
     taps = np.sinc(t * cut) * np.hamming(n)
     rows = taps.reshape(TAPS, UP).T
-    return (rows / rows.sum(1, keepdims=True)).astype(np.float32)
+    return np.rint(rows / rows.sum(1, keepdims=True) * 2**TAP_BITS).astype(np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -80,12 +84,36 @@ def mel_bank() -> np.ndarray:
     bins = np.linspace(0, top, FRAME // 2 + 1)
     rise = (bins[:, None] - edges[:-2]) / (edges[1:-1] - edges[:-2])
     fall = (edges[2:] - bins[:, None]) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(rise, fall))
+    return np.rint(np.maximum(0, np.minimum(rise, fall)) * 2**MEL_BITS)
+
+
+@lru_cache(maxsize=1)
+def window() -> np.ndarray:
+    return np.rint(np.hanning(FRAME) * 2**WINDOW_BITS).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def sines() -> np.ndarray:
+    """Cosines, then sines, of a frame's bins, one row for each sample."""
+    turns = 2 * np.pi / FRAME * (np.outer(np.arange(FRAME), np.arange(FRAME // 2 + 1)) % FRAME)
+    return np.rint(np.concatenate([np.cos(turns), np.sin(turns)], axis=1) * 2**SINE_BITS)
+
+
+@lru_cache(maxsize=1)
+def mantissas() -> np.ndarray:
+    """STEPS times the binary logarithm of 1 + k / 1024, rounded down; found with whole numbers."""
+    return np.array([((1024 + k) ** STEPS).bit_length() - 1 - 10 * STEPS for k in range(1024)], np.int64)
+
+
+def logarithms(x: np.ndarray) -> np.ndarray:
+    """STEPS times the binary logarithm of 1 + x (its first eleven digits) for whole x."""
+    part, power = np.frexp(x + 1)
+    return STEPS * (power.astype(np.int64) - 1) + mantissas()[(part * 2048).astype(np.int64) - 1024]
 
 
 def resampled(pcm: np.ndarray, first: int, n: int) -> np.ndarray:
     """n samples from number first on, at UP/DOWN of the rate; needs only the input around them."""
-    out = np.zeros(n, np.float32)
+    out = np.zeros(n, np.int64)
     for p in range(UP):
         # output m reads input from (m * DOWN) // UP - TAPS + 1 on, with the taps of phase (m * DOWN) % UP
         at = next(i for i in range(UP) if (first + i) * DOWN % UP == p)
@@ -94,36 +122,38 @@ def resampled(pcm: np.ndarray, first: int, n: int) -> np.ndarray:
         count, low = -(-(n - at) // UP), (first + at) * DOWN // UP - TAPS + 1
         need = (count - 1) * DOWN + TAPS
         a, b = max(low, 0), min(low + need, len(pcm))
-        held = np.zeros(need, np.float32)
+        held = np.zeros(need, np.int64)
         if b > a:
-            held[a - low : b - low] = (pcm[a:b].astype(np.float32) - 128) / 128
+            held[a - low : b - low] = pcm[a:b].astype(np.int64) - 128
         total = out[at::UP]
-        for k, tap in enumerate(phases()[p][::-1]):
+        for k, tap in enumerate(phases()[p][::-1].tolist()):
             total += tap * held[k : k + (count - 1) * DOWN + 1 : DOWN]
-    return out
+    return out >> DROP_SOUND
 
 
 def log_mels(pcm: np.ndarray) -> np.ndarray:
-    """Log mel energies in hundredths, one row for each frame."""
+    """Log mel energies, STEPS to the octave, one row for each frame."""
     n = len(pcm) * UP // DOWN
     frames = 1 + max(0, n - FRAME) // HOP
-    window, bank, out = np.hanning(FRAME).astype(np.float32), mel_bank(), np.empty((frames, BANDS), np.int32)
+    out = np.empty((frames, BANDS), np.int16)
     for a in range(0, frames, BLOCK):
         b = min(a + BLOCK, frames)
         sound = resampled(pcm, a * HOP, (b - a - 1) * HOP + FRAME)
-        cut = np.lib.stride_tricks.sliding_window_view(sound, FRAME)[::HOP] * window
-        spectrum = np.fft.rfft(cut, axis=1)
-        power = spectrum.real**2 + spectrum.imag**2
-        out[a:b] = np.rint(100 * np.log(power @ bank + 1e-6))
+        cut = (np.lib.stride_tricks.sliding_window_view(sound, FRAME)[::HOP] * window()).astype(np.float64)
+        spectrum = np.floor(cut @ sines() / 2**DROP_SPECTRUM)
+        power = spectrum[:, : FRAME // 2 + 1] ** 2 + spectrum[:, FRAME // 2 + 1 :] ** 2
+        out[a:b] = logarithms(power @ mel_bank())
     return out
 
 
 def active(mels: np.ndarray) -> np.ndarray:
     """First and last + 1 frame of each segment: on above the mean energy plus half a deviation, off below the mean."""
-    energy = mels.mean(1)
-    low, high = energy.mean(), energy.mean() + energy.std() / 2
-    sign = np.where(energy > high, 1, np.where(energy < low, -1, 0))
-    said = np.maximum.accumulate(np.where(sign != 0, np.arange(len(sign)), 0))
+    energy = mels.sum(1, dtype=np.int64)
+    n, total, squares = len(energy), int(energy.sum()), int((energy * energy).sum())
+    over = n * energy - total  # n times what a frame has beyond the mean
+    deviation = math.isqrt(n * squares - total * total)  # n times, rounded down
+    sign = np.where(2 * over > deviation, 1, np.where(over < 0, -1, 0))
+    said = np.maximum.accumulate(np.where(sign != 0, np.arange(n), 0))
     on = (sign[said] > 0).astype(np.int8)
     return np.flatnonzero(np.diff(np.concatenate([[0], on, [0]]))).reshape(-1, 2)
 
@@ -135,8 +165,8 @@ def seconds(frame: np.ndarray | int) -> np.ndarray | float:
 def tensors(mels: np.ndarray) -> bytes:
     """An Arrow stream: fixed-shape tensors with their time spans."""
     n = -(-len(mels) // FRAMES)
-    filled = np.concatenate([mels, np.repeat(mels[-1:], n * FRAMES - len(mels), 0)]).astype(np.float32) / 100
-    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, BANDS))
+    filled = np.concatenate([mels, np.repeat(mels[-1:], n * FRAMES - len(mels), 0)])
+    kind = pa.fixed_shape_tensor(pa.int16(), (FRAMES, BANDS))
     flat = pa.FixedSizeListArray.from_arrays(pa.array(filled.ravel()), FRAMES * BANDS)
     starts = np.arange(n) * FRAMES
     spans = [pa.array(seconds(starts)), pa.array(seconds(np.minimum(starts + FRAMES, len(mels)) - 1) + FRAME * DOWN / UP / RATE)]
@@ -148,11 +178,11 @@ def tensors(mels: np.ndarray) -> bytes:
 
 
 def frames_of(stream: bytes) -> np.ndarray:
-    """The log mel energies in hundredths that tensors() was given; the last time span says how many frames there are."""
+    """The log mel energies that tensors() was given; the last time span says how many frames there are."""
     batch = pa.ipc.open_stream(stream).read_next_batch()
     flat = batch.column("log_mel").storage.flatten().to_numpy()
     n = round((batch.column("end_s")[-1].as_py() - FRAME * DOWN / UP / RATE) / seconds(1)) + 1
-    return np.rint(flat.reshape(-1, BANDS)[:n] * 100).astype(np.int32)
+    return flat.reshape(-1, BANDS)[:n]
 
 
 def digests(media: bytes, stream: bytes, segments: list[dict]) -> tuple:
@@ -179,16 +209,14 @@ def features(text: str | None) -> tuple:
 
 def _rows(column: str, names: list[str], keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                got = [features(x.as_py()) for x in batch.column(column)]
-                more = [pa.array(x, t) for x, t in zip(zip(*(g[0] for g in got), strict=True), KINDS, strict=True)]
-                if keep:
-                    ends = [[{"start_s": seconds(a), "end_s": seconds(b - 1) + FRAME * DOWN / UP / RATE} for a, b in g[3].tolist()] for g in got]
-                    more += [pa.array([g[1] for g in got], pa.binary()), pa.array([tensors(g[2]) for g in got], pa.binary()), pa.array(ends, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))]
-                rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != column]
-                yield pa.RecordBatch.from_arrays([*rest, *more], names=names)
+        for batch in slices(batches, column, 256):
+            got = [features(x.as_py()) for x in batch.column(column)]
+            more = [pa.array(x, t) for x, t in zip(zip(*(g[0] for g in got), strict=True), KINDS, strict=True)]
+            if keep:
+                ends = [[{"start_s": seconds(a), "end_s": seconds(b - 1) + FRAME * DOWN / UP / RATE} for a, b in g[3].tolist()] for g in got]
+                more += [pa.array([g[1] for g in got], pa.binary()), pa.array([tensors(g[2]) for g in got], pa.binary()), pa.array(ends, pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))]
+            rest = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != column]
+            yield pa.RecordBatch.from_arrays([*rest, *more], names=names)
 
     return run
 
@@ -204,12 +232,10 @@ def audio_features(docs: DataFrame, text: str = "text", keep: bool = True) -> Da
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 256):
-            batch = whole.slice(start, 256)
-            got = [digests(m.as_py(), t.as_py(), s.as_py()) for m, t, s in zip(batch.column("media"), batch.column("tensors"), batch.column("segments"), strict=True)]
-            more = [pa.array(x, k) for x, k in zip(zip(*got, strict=True), KINDS, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *more], names=["doc_id", *(x.split()[0] for x in MADE.split(", "))])
+    for batch in slices(batches, "media", 256):
+        got = [digests(m.as_py(), t.as_py(), s.as_py()) for m, t, s in zip(batch.column("media"), batch.column("tensors"), batch.column("segments"), strict=True)]
+        more = [pa.array(x, k) for x, k in zip(zip(*got, strict=True), KINDS, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *more], names=["doc_id", *(x.split()[0] for x in MADE.split(", "))])
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
