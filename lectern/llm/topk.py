@@ -8,8 +8,10 @@ return only what reaches it. Queries meet shards in blocks, so both sides of a t
 score are searched too, as a tie may have a smaller vec_id.
 
 Defined cases: rows without vec_id, null and empty vectors, and vectors with null or non-finite components take no part; vectors of
-different lengths are never paired; repeated equal rows count once; a query never meets rows of its own vec_id. Components
-must lie within 2**31 after scaling, else the query fails (the score would not be exact).
+different lengths are never paired; repeated equal rows count once; a query never meets rows of its own vec_id. Rows that
+share a vec_id but not the vector are rows of their own: each is a candidate, and a query's ranking is the best of what all its rows find.
+Scaled components beyond a long are cut to its ends (2**63 - 1 either way), and so are scores; up to there scores are exact,
+in floating point where sums stay below 2**53, in longs below 2**63, with unbounded whole numbers beyond. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -26,9 +28,18 @@ from lectern.llm.common import staged, table
 
 LEAF = 512
 SHARD_ROWS, BLOCK_QUERIES = 16_384, 4_096
+MOST = (1 << 63) - 1
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
+def products(points: np.ndarray, query: np.ndarray, size: int) -> np.ndarray:
+    """Exact inner products of whole numbers as longs; `size` bounds their absolute sums."""
+    if size < 1 << 63:
+        return points @ query
+    exact = (points.astype(object) * query.astype(object)).sum(1)
+    return np.array([max(-MOST, min(MOST, x)) for x in exact], np.int64)
+
+
 class Tree:
     """Median splits with tight boxes; node 0 is the root."""
 
@@ -47,14 +58,24 @@ class Tree:
                 mid = (a + b) // 2
                 order[a:b] = order[a:b][np.argpartition(own[:, wide], mid - a)]
                 todo += [(a, mid, me), (mid, b, me)]
-        self.ids, self.points, self.low, self.high = ids[order], points[order], np.array(low), np.array(high)
+        self.ids, self.points, self.low, self.high = ids[order], points[order], np.array(low).astype(np.float64), np.array(high).astype(np.float64)
+        self.floats, self.largest = self.points.astype(np.float64), int(np.abs(points).max(initial=0))
+
+    def sizes(self, queries: np.ndarray) -> list[int]:
+        """A bound of the absolute sums in each query's products."""
+        return [int(m) * self.largest * self.points.shape[1] for m in np.abs(queries).max(1, initial=0).tolist()]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        """The largest product that each node's box can hold, with some room where floating point may round."""
+        q = queries.astype(np.float64)
+        out = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
+        room = np.array([0.0 if n < 1 << 53 else n * 1e-9 for n in self.sizes(queries)])
+        return np.maximum(out + room[:, None], -0.99 * MOST)  # a cut score is never below its bound
 
-    def search(self, query: np.ndarray, bounds: np.ndarray, own: int, k: int, kth: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, bounds: np.ndarray, size: int, own: int, k: int, kth: float) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the best k that reach kth."""
-        heap, ids, scores = [(-bounds[0], 0)], np.empty(0, np.int64), np.empty(0)
+        heap, ids, scores = [(-bounds[0], 0)], np.empty(0, np.int64), np.empty(0, np.int64)
+        as_float = query.astype(np.float64) if size < 1 << 53 else None
         while heap and -heap[0][0] >= kth:
             _, node = heapq.heappop(heap)
             if self.children[node]:
@@ -63,24 +84,21 @@ class Tree:
                         heapq.heappush(heap, (-bounds[child], child))
                 continue
             a, b = self.spans[node]
-            got = self.points[a:b] @ query
+            got = self.floats[a:b] @ as_float if as_float is not None else products(self.points[a:b], query, size)
             at = np.flatnonzero(got >= kth)
             at = at[self.ids[a:b][at] != own]
             if len(at):
-                ids, scores = np.concatenate([ids, self.ids[a:b][at]]), np.concatenate([scores, got[at]])
+                ids, scores = np.concatenate([ids, self.ids[a:b][at]]), np.concatenate([scores, got[at].astype(np.int64)])
                 if len(ids) > k:
-                    best = np.lexsort((ids, -scores))[:k]
+                    best = np.lexsort((ids, ~scores))[:k]  # ~x falls as x rises, without overflow
                     ids, scores = ids[best], scores[best]
                 if len(ids) == k:
-                    kth = max(kth, scores.min())
+                    kth = max(kth, int(scores.min()))
         return ids, scores
 
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-    if flat.size and np.abs(flat).max() > 2**31 or flat.size and float(np.abs(flat).max()) ** 2 * flat.shape[1] > 2**53:
-        raise ValueError("components are too large for exact scores")
-    return flat.astype(np.float64)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
 def _search(k: int):
@@ -89,13 +107,12 @@ def _search(k: int):
             return FOUND.empty_table()
         tree = Tree(points["vec_id"].to_numpy(), _matrix(points["v"], len(points)))
         asked, ids = _matrix(queries["query"], len(queries)), queries["query_id"].to_numpy()
-        least = queries["kth"].to_numpy(zero_copy_only=False)
-        out: list = []
+        least, out = queries["kth"].to_pylist(), []
         for start in range(0, len(ids), 512):
-            bounds = tree.bounds(asked[start : start + 512])
-            for i, row in enumerate(bounds, start):
-                got, scores = tree.search(asked[i], row, ids[i], k, least[i])
-                out.append((np.full(len(got), ids[i]), got, scores.astype(np.int64)))
+            part = asked[start : start + 512]
+            for i, (row, size) in enumerate(zip(tree.bounds(part), tree.sizes(part), strict=True), start):
+                got, scores = tree.search(asked[i], row, size, ids[i], k, float("-inf") if least[i] is None else least[i])
+                out.append((np.full(len(got), ids[i]), got, scores))
         return pa.Table.from_arrays([np.concatenate(x) for x in zip(*out, strict=True)], schema=FOUND)
 
     return run
@@ -105,7 +122,7 @@ def scaled(embeddings: DataFrame, factor: float = 64.0) -> DataFrame:
     """vec_id, v (whole numbers) of the vectors that take part, each once."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     out = embeddings.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).where(sound)
-    return out.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * factor)).alias("v")).dropDuplicates()
+    return out.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.greatest(F.floor(x.cast("double") * factor), F.lit(-MOST))).alias("v")).dropDuplicates()
 
 
 def top_k(points: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -124,13 +141,13 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     spread = p.withColumn("block", every_block) if blocks > 1 else p
     search = _search(k)
-    first = staged(spread.groupBy(*keys).cogroup(q.withColumn("kth", F.lit(float("-inf"))).groupBy(*keys)).applyInArrow(lambda a, b: search(a, b), schema), "topk-first")
+    first = staged(spread.groupBy(*keys).cogroup(q.withColumn("kth", F.lit(None).cast("long")).groupBy(*keys)).applyInArrow(lambda a, b: search(a, b), schema), "topk-first")
     found = first
     if shards > 1:
         by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        kth = first.withColumn("at", F.row_number().over(by_score)).where(F.col("at") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+        kth = first.withColumn("at", F.row_number().over(by_score)).where(F.col("at") == k).select("query_id", F.col("score").alias("kth"))
         others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard")))
-        sent = q.join(kth, "query_id", "left").fillna(float("-inf"), ["kth"]).withColumn("shard", others)
+        sent = q.join(kth, "query_id", "left").withColumn("shard", others)
         found = first.unionByName(spread.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(lambda a, b: search(a, b), schema))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
