@@ -38,12 +38,12 @@ def water_levels(sizes: DataFrame, weights=WEIGHTS, epochs: int = 3) -> DataFram
     return levels.withColumn("target", F.least("cap", F.col("weight") * top)).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = 3, seed: int = 7, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """docs with size, source_size, target (its source's) and taken (words the mix takes, repeats counted)."""
+def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = 3, seed: int = 7, text: str = "text", source: str = "source", key: str = "doc_id", words: str | None = None) -> DataFrame:
+    """docs with size, source_size, target (its source's) and taken (words the mix takes, repeats counted). words: a column that has the size already."""
     size, source_size, target, taken, h, whole, stop, rest, cell = fresh(docs.columns, "size", "source_size", "target", "taken", "h", "whole", "stop", "rest", "cell")
     seeded = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
     hashed = F.conv(F.substring(seeded, 1, HASH_BITS // 4), 16, 10).cast("long")
-    sized = docs.withColumns({size: word_count(text), h: hashed})
+    sized = docs.withColumns({size: F.col(words) if words else word_count(text), h: hashed})
     cells = staged(
         sized.groupBy(F.col(source).alias("source"), F.shiftright(h, HASH_BITS - SLICE_BITS).cast("int").alias("cell")).agg(F.sum(size).alias("words")),
         "mix-cells",
@@ -77,8 +77,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = 3, seed: int = 7, text:
 
 
 def op10_water_filling(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """Texts are read once: both passes of the mix go over their word counts."""
+    counted = staged(table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("words")), "mix-words")
+    return mix(counted, words="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = """
