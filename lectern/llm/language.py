@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import fresh, table
+from lectern.llm.common import fresh, slices, table
 
 ROWS = 2_000
 SLOT_BITS, HASHES = 20, 3
 #: A language contains a 3-gram seen there LEAST times or more, at SHARE of the highest frequency in any language or more.
 LEAST, SHARE = 3, 0.4
+#: Characters whose 3-grams are held at a time.
+PART = 1 << 18
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -36,11 +38,30 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All 3-grams around letters, and how many each text has."""
-    low = [t.lower() for t in texts]
-    sizes = np.fromiter(map(len, low), np.int64, len(low))
-    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(owner, n, found): the 3-grams around letters, PART characters at a time; n of them for each owner, the number of a text.
+
+    A long text comes in parts, each with its neighbouring characters."""
+    held: list[tuple[int, str, int, int]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        low = text.lower()
+        for a in range(0, max(len(low), 1), PART):
+            b = min(a + PART, len(low))
+            held.append((i, low[max(a - 1, 0) : b + 1], min(a, 1), int(b < len(low))))
+            size += b - a
+            if size >= PART:
+                yield _grams(held)
+                held, size = [], 0
+    if held:
+        yield _grams(held)
+
+
+def _grams(parts: list[tuple[int, str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of parts (owner, characters, how many of them only go before, only go after)."""
+    owner, texts, before_it, after_it = zip(*parts, strict=True)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letters()[codes]
     own = np.where(letter, codes, 0).astype(np.uint64)
     starts = np.cumsum(sizes) - sizes
@@ -49,32 +70,20 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     full = starts[sizes > 0]
     before[full] = 0
     after[full[1:] - 1] = 0
-    found = ((before << np.uint64(42)) | (own << np.uint64(21)) | after)[letter]
-    ends = np.concatenate([[0], np.cumsum(letter)])
-    return found, ends[starts + sizes] - ends[starts]
-
-
-def _pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
-    """Texts in groups of a few million characters at most, long texts alone."""
-    texts, start, held = batch.column(column).to_pylist(), 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t or "") > 1 << 20:
-            yield start, [x or "" for x in texts[start:i]]
-            start, held = i, 0
-        held += len(t or "")
-    if start < len(texts):
-        yield start, [x or "" for x in texts[start:]]
+    centre = letter.copy()
+    centre[starts[np.array(before_it) > 0]] = False
+    centre[(starts + sizes - 1)[np.array(after_it) > 0]] = False
+    found = ((before << np.uint64(42)) | (own << np.uint64(21)) | after)[centre]
+    ends = np.concatenate([[0], np.cumsum(centre)])
+    return np.array(owner), ends[starts + sizes] - ends[starts], found
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        for start, texts in _pieces(batch, "text"):
-            by: dict[str, list[str]] = {}
-            for lang, t in zip(langs[start:], texts, strict=False):
-                by.setdefault(lang, []).append(t)
-            for lang, own in by.items():
-                g, n = np.unique(grams(own)[0], return_counts=True)
+    for batch in slices(batches, "text"):
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        for lang in sorted(set(langs)):
+            for _, _, found in grams([t for t, x in zip(batch.column("text").to_pylist(), langs, strict=True) if x == lang]):
+                g, n = np.unique(found, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
@@ -98,25 +107,31 @@ class Filters:
         mixed = found ^ (found >> np.uint64(29))
         return [(mixed * m) >> np.uint64(64 - SLOT_BITS) for m in MULTIPLIERS[:HASHES]]
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        found, n = grams(texts)
-        if not self.languages or not len(found):
-            return ["und"] * len(texts), np.zeros(len(texts))
+    def hits(self, found: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For stretches of n 3-grams: how many each language seems to contain."""
+        out, some, starts = np.zeros((len(n), len(self.languages))), n > 0, np.cumsum(n) - n
         slots = self.slots(found)
-        starts = np.cumsum(n) - n
-        hits = np.zeros((len(texts), len(self.languages)))
-        some = n > 0
         for i in range(len(self.languages)):
             if i % 8 == 0:
                 t = self.tables[i // 8]
                 mask = t[slots[0]]
                 for s in slots[1:]:
                     mask = mask & t[s]
-            hits[some, i] = np.add.reduceat(mask >> np.uint8(i % 8) & 1, starts[some], dtype=np.int64)
-        sure = np.clip((hits - n[:, None] * self.chance) / (1 - np.minimum(self.chance, 0.99)), 0, None)
+            out[some, i] = np.add.reduceat(mask >> np.uint8(i % 8) & 1, starts[some], dtype=np.int64)
+        return out
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        total, hits = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages)))
+        for owner, n, found in grams(texts):
+            np.add.at(total, owner, n)
+            if len(found) and self.languages:
+                np.add.at(hits, owner, self.hits(found, n))
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        sure = np.clip((hits - total[:, None] * self.chance) / (1 - np.minimum(self.chance, 0.99)), 0, None)
         best = sure.argmax(1)
-        score = np.clip(sure.max(1) / np.maximum(n, 1), 0, 1)
-        return [self.languages[b] if k else "und" for b, k in zip(best, some, strict=True)], np.where(some, score, 0)
+        score = np.clip(sure.max(1) / np.maximum(total, 1), 0, 1)
+        return [self.languages[b] if k else "und" for b, k in zip(best, total, strict=True)], np.where(total > 0, score, 0)
 
 
 def held_out(key: str) -> Column:
@@ -140,13 +155,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
 def _predicted(model, column: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs: list[str] = []
-            scores: list[float] = []
-            for _, texts in _pieces(batch, column):
-                a, b = model.value.predict(texts)
-                langs += a
-                scores += b.tolist()
+        for batch in slices(batches, column):
+            langs, scores = model.value.predict([t or "" for t in batch.column(column).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     return run

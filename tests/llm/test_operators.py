@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,32 @@ def test_shard_bytes_are_near_equal(spark, hot):
     assert max(by.values()) < 1.03 * min(by.values())
 
 
+@pytest.mark.parametrize("most", [8, 8192])
+def test_shards_are_stretches_of_the_order_with_exact_boundaries(spark, monkeypatch, most):
+    """Every row's shard and slot against a plain sort; a boundary is off by no more than the tolerance or half a row."""
+    monkeypatch.setattr(sharding, "MOST_PIECES", most)
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["hot text", None, "", f"t{i} " * rng.randrange(60), f"t{i}"])) for i in range(3000)] + [(None, "hot text"), (5, "x"), (5, "x")]
+    got = sharding.histogram_sort(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), rows_per_piece=20).collect()
+
+    def order(r):
+        h = -1 if r.text is None else int(hashlib.md5(r.text.encode()).hexdigest()[:15], 16)
+        return h, r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32
+
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    got.sort(key=order)
+    assert [r.shard for r in got] == sorted(r.shard for r in got)
+    slots, sums = Counter(), Counter()
+    for r in got:
+        assert r.slot == slots[r.shard]
+        slots[r.shard] += 1
+        sums[r.shard] += r.size
+    total, below = sum(sums.values()), 0
+    for s in range(7):
+        below += sums[s]
+        assert abs(below - (s + 1) * total / 8) <= max(0.01 * total / 8, max(r.size for r in got) / 2 + 1) + 1
+
+
 def test_equal_texts_stay_together_while_they_fit(spark):
     rows = [(i, f"text {i // 4} " * 5) for i in range(4000)]
     got = sharding.histogram_sort(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
@@ -178,12 +206,25 @@ def test_warc_round_trip_and_revisits(spark, monkeypatch):
             size = int(head.split(b"Content-Length: ")[1])
             assert rest[size : size + 4] == b"\r\n\r\n"
             data = rest[size + 4 :]
+    heads = [r.data.split(b"\r\n\r\n")[0].decode() for r in table.where("chunk_no = 0").collect()]
+    fields = [dict(x.split(": ", 1) for x in h.split("\r\n")[1:]) for h in heads]
+    responses = {f["WARC-Record-ID"] for f in fields if f["WARC-Type"] == "response"}
+    assert {f["WARC-Refers-To"] for f in fields if f["WARC-Type"] == "revisit"} <= responses  # each names a record there is
     broken = table.withColumn("data", F.when(F.col("chunk_no") == 1, F.lit(b"?")).otherwise(F.col("data")))
     with pytest.raises(Exception, match="doesn't match|wrong"):
         warc.read_archives(broken).collect()
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_of_odd_urls_repeated_rows_and_clashing_names(spark):
+    long = "http://a/" + "é" * 50_000
+    rows = [(1, long, "x" * 200_000, "d", 1, b"s"), (1, long, "x" * 200_000, "d", 1, b"s"), (2, "u", "x" * 200_000, None, None, None), (None, long, "y" * 70_000, "", 2, b""), (None, None, None, "", 2, b"")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, digest string, size int, payload binary").repartition(2)
+    got = warc.read_archives(warc.write_archives(pages)).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.url, r.n_chunks) for r in got) == Counter(
+        [(1, 200_000, "revisit", 2, long, 1), (1, 200_000, "revisit", 2, long, 1), (2, 200_000, "response", None, "u", 4), (None, 70_000, "response", None, long, 2), (None, 0, "response", None, None, 1)])
+
+
 def test_top_k_equals_all_scores(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)], i) for i in range(400)]
@@ -202,12 +243,37 @@ def test_top_k_equals_all_scores(spark):
     assert topk.top_k(empty, empty).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e6, 1e9, 1e17, 1e30])
+def test_top_k_of_large_components_and_repeated_ids(spark, scale):
+    """Exact up to a long, cut to its ends beyond; rows that share an id; columns with names that the operator uses."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i // 2), [float(x) * scale for x in rng.normal(size=3)], 1, "s", 2) for i in range(120)]
+    rows += [(200 + i, [float(x) for x in rng.integers(-3, 3, 3)], 1, "s", 2) for i in range(40)] + [(300, [scale, -scale, 0.5], 1, None, 2), (300, [-1.7e308, 1.0, 1.0], 1, None, 2)]
+    points = topk.scaled(spark.createDataFrame(rows, "vec_id int, embedding array<double>, shard int, query_id string, kth int")).cache()
+    most = 2**63 - 1
+
+    def whole(x):
+        x = x * 64
+        return max(-most, min(most, math.floor(x))) if abs(x) < 1e300 else int(math.copysign(most, x))
+
+    own = {(r[0], tuple(whole(x) for x in r[1])) for r in rows}
+    want = Counter()
+    for q in {i for i, _ in own if i % 20 == 0}:
+        found = []
+        for _, a in (x for x in own if x[0] == q):
+            best = sorted((-max(-most, min(most, sum(x * y for x, y in zip(a, b, strict=True)))), p) for p, b in own if p != q)
+            found += best[:20]
+        want += Counter((q, r, p, -s) for r, (s, p) in enumerate(sorted(found)[:20], 1))
+    for sizes in ((16_384, 4_096), (40, 3)):
+        assert Counter(tuple(r) for r in topk.top_k(points, points.where("vec_id % 20 = 0"), 20, *sizes).collect()) == want
+
+
 def test_tree_search_prunes_and_is_exact():
     rng = np.random.default_rng(2)
-    points = np.floor(rng.normal(size=(3000, 3)) * 50)
+    points = np.floor(rng.normal(size=(3000, 3)) * 50).astype(np.int64)
     tree = topk.Tree(np.arange(3000), points)
-    q = np.array([[5.0, -3, 2]])
-    ids, scores = tree.search(q[0], tree.bounds(q)[0], -1, 10, float("-inf"))
+    q = np.array([[5, -3, 2]])
+    ids, scores = tree.search(q[0], tree.bounds(q)[0], tree.sizes(q)[0], -1, 10, float("-inf"))
     best = np.lexsort((np.arange(3000), -(points @ q[0])))[:10]
     assert sorted(ids) == sorted(best) and sorted(scores) == sorted((points @ q[0])[best])
 
@@ -229,10 +295,52 @@ def test_language_of_odd_texts(odd, odd_rows, none):
     assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {"und"}
 
 
+def plain_grams(text):
+    low = (text or "").lower()
+    own = [ord(c) if c.isalpha() else 0 for c in low]
+    return [((own[i - 1] if i else 0) << 42) | (c << 21) | (own[i + 1] if i + 1 < len(own) else 0) for i, c in enumerate(own) if c]
+
+
+def plain_slots(gram):
+    mixed = gram ^ (gram >> 29)
+    return [(mixed * int(m) % 2**64) >> (64 - language.SLOT_BITS) for m in language.MULTIPLIERS]
+
+
+@pytest.mark.parametrize("part", [7, 1 << 18])
+def test_filters_equal_a_plain_n_gram_version(spark, small, odd, monkeypatch, part):
+    """Counts, the choice of 3-grams, filters, hits, the correction and the decision, with dictionaries and sets."""
+    monkeypatch.setattr(language, "PART", part)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id") + 10_000))
+    rows, seen = docs.collect(), {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and r.doc_id is not None and crc(str(r.doc_id)) % 3 != 1:
+            seen.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    kept = {k: {g: n for g, n in c.items() if n >= language.LEAST} for k, c in seen.items()}
+    share = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in kept.items()}
+    top = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    contained = {k: [g for g, x in s.items() if x >= language.SHARE * top[g]] for k, s in share.items()}
+    learned = language.learn(docs)
+    plain = language.Filters({k: np.array(sorted(g), np.uint64) for k, g in contained.items()})
+    assert learned.languages == plain.languages and all((a == b).all() for a, b in zip(learned.tables, plain.tables, strict=True))
+    filled = {k: {s for g in own for s in plain_slots(g)} for k, own in contained.items()}
+    chance = {k: (len(s) / 2**language.SLOT_BITS) ** language.HASHES for k, s in filled.items()}
+    order = {g: plain_slots(g) for r in rows for g in plain_grams(r.text)}
+    got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in language.identify(docs, learned).collect()}
+    for r in rows:
+        found = plain_grams(r.text)
+        sure = {k: max(0, (sum(all(x in filled[k] for x in order[g]) for g in found) - len(found) * chance[k]) / (1 - chance[k])) for k in sorted(filled)}
+        best = max(sure, key=sure.get)
+        pred, score = got[r.doc_id, r.text]
+        assert pred == (best if found else "und") and score == pytest.approx(min(1, sure[best] / len(found)) if found else 0)
+
+
 def test_filters_of_many_languages_and_chance():
     own = {f"l{i:02}": np.arange(i * 1000, i * 1000 + 500) + 97 for i in range(20)}
     f = language.Filters(own)
     assert len(f.tables) == 3 and (f.chance < 1e-6).all()
+    found = np.concatenate([own["l03"][:40], own["l17"][:30], own["l17"][:5]]).astype(np.uint64)
+    hits = f.hits(found, np.array([40, 0, 30, 5]))
+    assert hits[0, 3] == 40 and hits[2, 17] == 30 and hits[3, 17] == 5 and not hits[1].any()
     assert f.predict(["", "1", None or ""]) [0] == ["und"] * 3
 
 
@@ -245,23 +353,64 @@ def test_audio_round_trip():
         assert row[:3] == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert row[4:6] == (len(stored), hashlib.sha256(stored).hexdigest())
         batch = pa.ipc.open_stream(media.tensors(mels)).read_next_batch()
-        assert batch.column("log_mel").type == pa.fixed_shape_tensor(pa.float32(), (media.FRAMES, media.BANDS))
+        assert batch.column("log_mel").type == pa.fixed_shape_tensor(pa.int16(), (media.FRAMES, media.BANDS))
+        assert (media.frames_of(media.tensors(mels)) == mels).all()
         assert (spans[:, 0] < spans[:, 1]).all() and (spans[1:, 0] > spans[:-1, 1]).all()
 
 
-def test_polyphase_equals_plain_convolution(monkeypatch):
-    pcm = np.random.default_rng(3).integers(0, 256, 2000).astype(np.uint8)
-    x = (pcm.astype(np.float64) - 128) / 128
-    n = len(pcm) * media.UP // media.DOWN
-    want = np.zeros(n)
+def test_features_equal_plain_sums_of_whole_numbers(monkeypatch):
+    """Filter, frames, transform, mel bands and logarithms, one number at a time."""
+    pcm = np.random.default_rng(3).integers(0, 256, 1100).astype(np.uint8)
+    x = [int(v) - 128 for v in pcm]
+    n, sound = len(pcm) * media.UP // media.DOWN, []
     for m in range(n):
         p, last = m * media.DOWN % media.UP, m * media.DOWN // media.UP
-        want[m] = sum(media.phases()[p][k] * x[last - k] for k in range(media.TAPS) if 0 <= last - k < len(x))
-    assert np.allclose(media.resampled(pcm, 0, n), want, atol=1e-5)
-    assert np.allclose(media.resampled(pcm, 301, 77), want[301:378], atol=1e-5)
-    whole = media.log_mels(pcm)
+        sound.append(sum(int(media.phases()[p][k]) * x[last - k] for k in range(media.TAPS) if 0 <= last - k < len(x)) // 2**media.DROP_SOUND)
+    assert media.resampled(pcm, 0, n).tolist() == sound and media.resampled(pcm, 301, 77).tolist() == sound[301:378]
+    got = media.log_mels(pcm)
+    assert len(got) == 1 + (n - media.FRAME) // media.HOP
+    bins, top = media.FRAME // 2 + 1, media.RATE * media.UP / media.DOWN / 2
+    edges = [700 * (10 ** (i * math.log10(1 + top / 700) / (media.BANDS + 1)) - 1) for i in range(media.BANDS + 2)]
+    for f, row in enumerate(got.tolist()):
+        frame = [s * round(256 * 0.5 * (1 - math.cos(2 * math.pi * i / (media.FRAME - 1)))) for i, s in enumerate(sound[f * media.HOP : f * media.HOP + media.FRAME])]
+        power = []
+        for k in range(bins):
+            re, im = (sum(v * round(1024 * g(2 * math.pi * (i * k % media.FRAME) / media.FRAME)) for i, v in enumerate(frame)) // 2**media.DROP_SPECTRUM for g in (math.cos, math.sin))
+            power.append(re * re + im * im)
+        for b, value in enumerate(row):
+            low, mid, high = edges[b : b + 3]
+            energy = sum(e * round(64 * max(0, min((k * top / (bins - 1) - low) / (mid - low), (high - k * top / (bins - 1)) / (high - mid)))) for k, e in enumerate(power))
+            first = (energy + 1) >> max(0, (energy + 1).bit_length() - 11)  # its first eleven digits
+            assert value == math.floor(256 * math.log2(first) + 1e-9) + 256 * max(0, (energy + 1).bit_length() - 11)
     monkeypatch.setattr(media, "BLOCK", 3)
-    assert np.abs(media.log_mels(pcm) - whole).max() <= 1
+    assert (media.log_mels(pcm) == got).all()
+
+
+def test_tables_of_the_filterbank_are_far_from_a_rounding_edge():
+    t = (np.arange(media.TAPS * media.UP) - (media.TAPS * media.UP - 1) / 2) / media.UP
+    taps = (np.sinc(t * media.UP / media.DOWN) * np.hamming(len(t))).reshape(media.TAPS, media.UP).T
+    for x in (np.hanning(media.FRAME) * 256, np.cos(2 * np.pi * np.arange(media.FRAME) / media.FRAME) * 1024, taps / taps.sum(1, keepdims=True) * 4096):
+        assert (np.abs(x - np.floor(x) - 0.5) > 1e-9).all()
+
+
+def test_segments_equal_a_plain_switch():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 60, 500):
+        mels = np.repeat(rng.integers(0, 9000, (-(-n // 3), media.BANDS)), 3, 0)[:n].astype(np.int16)
+        energy = [sum(r) for r in mels.tolist()]
+        mean = Fraction(sum(energy), n)
+        variance = sum((e - mean) ** 2 for e in energy) / n
+        on, want = False, []
+        for i, e in enumerate(energy):
+            if e > mean and 4 * (e - mean) ** 2 > variance:
+                on = True
+            elif e < mean:
+                on = False
+            if on and want and want[-1][1] == i:
+                want[-1][1] = i + 1
+            elif on:
+                want.append([i, i + 1])
+        assert media.active(mels).tolist() == want
 
 
 def test_audio_of_odd_rows(odd, odd_rows):
@@ -317,6 +466,7 @@ def test_mix_meets_targets(odd, odd_rows):
 
 def test_empty_tables(none):
     assert sharding.histogram_sort(none).count() == 0
+    assert language.identify(none, language.learn(none)).count() == 0
     assert substrings.dedup_substrings(none).count() == 0
     assert pieces.encode_decode(none, pieces.default_model()).count() == 0
     assert simhash.near_groups(simhash.fingerprinted(none.select("doc_id", "text"), "text", "fp")).count() == 0
