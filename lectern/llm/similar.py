@@ -27,7 +27,7 @@ from lectern.llm.simhash import shingle_hashes
 WORDS, SIMILARITY = 5, 0.8
 BINS, PROBABLE = 64, 0.5
 #: Texts in a chunk, when sketches and when shingles are compared; shingles or pairs compared at a time; shingles of a group counted at a time.
-CHUNK, CHUNK_FULL, COLUMNS, COUNTED = 512, 128, 4096, 1 << 18
+CHUNK, CHUNK_FULL, COLUMNS, COUNTED = 128, 128, 4096, 1 << 18
 
 
 def shingles(text: str | None) -> np.ndarray:
