@@ -9,9 +9,10 @@ The tree is built in parts, each for the suffixes under one prefix, none larger
   as a segment (some 20 windows). Prefixes that stay within one document have no deep node in two documents and go at
   once. Equal segments become one leaf, with their least and largest doc_id. A prefix with one distinct segment is a path
   without branches and needs no further work.
-* Prefixes of more than GROUP distinct segments are made longer: each window there is dealt anew by its own first 20, then 35, then all
-  LENGTH words, until GROUP or fewer are left under a prefix. Prefixes in one document go at every step. At full length all
-  windows under a prefix hang below one deep node; its least doc_id is a map-side sum, whatever their number.
+* Prefixes of more than GROUP distinct segments are made longer: a segment is cut into stretches of up to 12, then 4, then single
+  windows by where the anchor stands in them. All windows of such a stretch share 39, then 47, then all 50 words around
+  the anchor, and by those they are dealt anew, until GROUP or fewer are left together. What stays in one document goes at every step.
+  At full length all windows together hang below one deep node; its least doc_id is a map-side sum, whatever their number.
 * For every other prefix a subtree is built from the words themselves: its suffixes are sorted by doubling, the ranks kept on the way give the
   words shared by neighbours, and stretches that share LENGTH words or more are the topmost deep nodes. All
   nodes below them (longer repeats) have the same leaves or fewer, so the topmost decide what goes.
@@ -39,8 +40,8 @@ from xxhash import xxh64_intdigest
 from lectern.llm.common import fresh, slices, staged, table
 
 LENGTH, PREFIX = 50, 12
-#: Distinct segments (later windows) of a subtree at most, and the lengths to which the prefixes of larger groups grow.
-GROUP, LONGER = 256, (20, 35, LENGTH)
+#: Distinct segments (or parts of such) of a subtree at most, and the windows that a part of a segment has at most where groups are larger.
+GROUP, WIDE, NARROW = 256, 12, 4
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Bytes of text worked on at a time, and words whose hash is remembered.
 BLOCK, REMEMBERED = 1 << 20, 200_000
@@ -242,53 +243,87 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-KEYS = [f"k{n}" for n in LONGER]
-WINDOWS = pa.schema([("doc_id", pa.int64()), ("prefix", pa.int64()), ("seg", pa.int64()), ("seg2", pa.int64()), ("at", pa.int32()), *((k, pa.int64()) for k in KEYS), ("check", pa.int64())])
-WINDOWS_DDL = ", ".join(["doc_id bigint, prefix bigint, seg bigint, seg2 bigint, at int", *(f"{k} bigint" for k in KEYS), "check bigint"])
+FOURS = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("key", pa.int64())])
+ONES = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("check", pa.int64())])
+PARTS_DDL = "doc_id bigint, prefix bigint, seg bigint, seg2 bigint, at int, n int, key bigint, fours array<struct<at:int,n:int,key:bigint>>, ones array<struct<at:int,n:int,key:bigint,check:bigint>>"
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of a segment with hashes of its first words, at every length of LONGER (at the last, `check` is a second one)."""
+def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run; `new` says where one starts."""
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(new)))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments cut into parts of WIDE windows, each with its narrower parts and single windows, and a hash of the words that
+    all windows of the part share (for single windows two hashes)."""
     for batch in slices(batches, "words", 1024, 1 << 19):
         words = [word_hashes(w.split(b" ")) for w in batch.column("words").to_pylist()]
         sizes = np.array([len(w) for w in words])
         n, starts, laid = sizes - LENGTH + 1, np.cumsum(sizes) - sizes, np.concatenate(words)
+        one, two = (Rolled(laid, b) for b in BASES)
+        prefix = batch.column("prefix").to_numpy().view(np.uint64)
+        # The anchor: the first place from the last window's start on that has the prefix.
+        anchor = np.empty(len(words), np.int64)
+        for i, (a, count) in enumerate(zip(starts.tolist(), n.tolist(), strict=True)):
+            anchor[i] = count - 1 + np.flatnonzero(one(np.arange(a + count - 1, a + LENGTH - PREFIX + 1), PREFIX) == prefix[i])[0]
         which = np.repeat(np.arange(len(words)), n)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        one, two = (Rolled(laid, b) for b in BASES)
-        own = _mixed(batch.column("prefix").to_numpy().view(np.uint64))[which]
-        hashes = [_mixed(one(starts[which] + offset, length) ^ own).view(np.int64) for length in LONGER]
-        same = [batch.column(c).take(pa.array(which)) for c in ("doc_id", *SEGMENT)]
-        yield pa.RecordBatch.from_arrays([*same, pa.array(offset.astype(np.int32)), *(pa.array(h) for h in hashes), pa.array(two(starts[which] + offset, LENGTH).view(np.int64))], schema=WINDOWS)
+        behind = anchor[which] - offset  # words of the window before its anchor, 0 to LENGTH - PREFIX
+
+        def shared(width: int, roll: Rolled = one) -> np.ndarray:
+            """For each window: a hash of the words that all windows of its class share."""
+            low = behind // width * width
+            high = np.minimum(low + width - 1, LENGTH - PREFIX)
+            start = (starts + anchor)[which] - low
+            return _mixed(roll(start, LENGTH - high + low) ^ _mixed(prefix[which] + low.astype(np.uint64))).view(np.int64)
+
+        def first_of(width: int) -> np.ndarray:
+            return np.append(True, (which[1:] != which[:-1]) | (behind[1:] // width != behind[:-1] // width))
+
+        wide, wide_n = _runs(first_of(WIDE))
+        narrow, narrow_n = _runs(first_of(NARROW))
+        int32 = np.int32
+        fours = pa.StructArray.from_arrays([pa.array(offset[narrow].astype(int32)), pa.array(narrow_n.astype(int32)), pa.array(shared(NARROW)[narrow])], fields=list(FOURS))
+        ones = pa.StructArray.from_arrays([pa.array(offset.astype(int32)), pa.array(np.ones(len(which), int32)), pa.array(shared(1)), pa.array(shared(1, two))], fields=list(ONES))
+        same = [batch.column(c).take(pa.array(which[wide])) for c in ("doc_id", *SEGMENT)]
+        fours = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(narrow, wide), len(narrow)).astype(int32)), fours)
+        ones = pa.ListArray.from_arrays(pa.array(np.append(wide, len(which)).astype(int32)), ones)
+        columns = [*same, pa.array(offset[wide].astype(int32)), pa.array(wide_n.astype(int32)), pa.array(shared(WIDE)[wide]), fours, ones]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *SEGMENT, "at", "n", "key", "fours", "ones"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of segments with `dealt` (at, group): the words of those windows."""
+    """Of segments with `dealt` (at, n, group): the words of those parts."""
     for batch in slices(batches, "words", 256, 1 << 19):
         out = []
         for doc_id, prefix, seg, seg2, words, dealt in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *SEGMENT, "words", "dealt")), strict=True):
             cut = words.split(b" ")
-            out += [(d["group"], doc_id, prefix, seg, seg2, d["at"], b" ".join(cut[d["at"] : d["at"] + LENGTH])) for d in dealt]
+            out += [(d["group"], doc_id, prefix, seg, seg2, d["at"], b" ".join(cut[d["at"] : d["at"] + d["n"] + LENGTH - 1])) for d in dealt]
         if out:
             yield _batch(out, ROW)
 
 
 def _hot_flags(hot: DataFrame) -> DataFrame:
-    """(prefix, seg, seg2, flags) of the segments (FETCHED) of crowded prefixes, which are made longer step by step."""
-    rest, fits, flags = staged(hot.mapInArrow(_windows, WINDOWS_DDL), "windows"), None, None
-    for key, last in zip(KEYS, [False] * (len(KEYS) - 1) + [True], strict=True):
-        own = [key, "check"] if last else [key]
-        in_two = staged(rest.groupBy(*own).agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "longer-prefixes")
-        met = staged(rest.join(in_two, own), "windows-dealt")
-        fit = met.where(F.col("n") <= GROUP).select(*SEGMENT, F.struct("at", F.col(key).alias("group")).alias("one"))
+    """(prefix, seg, seg2, flags) of the segments (FETCHED) of crowded prefixes, whose shared words are made more step by step."""
+    rest, fits, flags = staged(hot.mapInArrow(_parts, PARTS_DDL), "parts"), None, None
+    for finer, own in (("fours", ["key"]), ("ones", ["key"]), (None, ["key", "check"])):
+        in_two = staged(rest.groupBy(*own).agg(F.count("*").alias("together"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "longer-prefixes")
+        met = staged(rest.join(in_two, own), "parts-dealt")
+        fit = met.where(F.col("together") <= GROUP).select(*SEGMENT, F.struct("at", "n", F.col("key").alias("group")).alias("one"))
         fits = fit if fits is None else fits.unionByName(fit)
-        rest = met.where(F.col("n") > GROUP)
-        if rest.isEmpty():
+        crowded = met.where(F.col("together") > GROUP)
+        if crowded.isEmpty():
             break
-        if last:
-            flags = rest.where("lo < doc_id").groupBy(*SEGMENT).agg(F.collect_set("at").alias("flags"))
-        rest = rest.drop("n", "lo")
-    dealt = staged(fits.groupBy(*SEGMENT).agg(F.collect_list("one").alias("dealt")), "windows-wanted")
+        if finer is None:
+            flags = crowded.where("lo < doc_id").groupBy(*SEGMENT).agg(F.collect_set("at").alias("flags"))
+        elif finer == "fours":
+            rest = crowded.select("doc_id", *SEGMENT, F.explode("fours").alias("part"), "ones")
+            inside = F.filter("ones", lambda w: (w["at"] >= F.col("part.at")) & (w["at"] < F.col("part.at") + F.col("part.n")))
+            rest = rest.select("doc_id", *SEGMENT, "part.*", inside.alias("ones"))
+        else:
+            rest = crowded.select("doc_id", *SEGMENT, F.explode("ones").alias("part")).select("doc_id", *SEGMENT, "part.*")
+    dealt = staged(fits.groupBy(*SEGMENT).agg(F.collect_list("one").alias("dealt")), "parts-wanted")
     rows = hot.join(dealt, list(SEGMENT)).mapInArrow(_cut_out, ROW_DDL).repartition("group").sortWithinPartitions("group")
     found = rows.mapInArrow(_subtrees, FLAGGED_DDL)
     return found if flags is None else found.unionByName(flags)
