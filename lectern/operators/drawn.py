@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import paragraphs as pg
-
 
 def merged_tables(rows: list[dict], slides: bool = False) -> list[dict]:
     """Tables in order (pos, page, header, n_cols, n_rows, titled: the first row is one cell; widths or None) -> merged ones.
@@ -35,22 +33,6 @@ def merged_tables(rows: list[dict], slides: bool = False) -> list[dict]:
     return out
 
 
-def flow_blocks(lines: list[dict]) -> list[dict]:
-    """Lines of one cell or box -> its bullets and paragraphs: no headings there, and nothing goes over a page. A fold."""
-    page, blocks = pg.Page(lines), []
-    centres = pg.cluster_centres(sorted(x["x0"] for x in lines if x["bullet"]), 6.0)
-    for line in lines:
-        if line["blank"] or pg.DECORATIVE.fullmatch(line["text"]):
-            continue
-        if line["bullet"]:
-            blocks.append(pg.Block("bullet", [line], line["text_x"], level=pg.nearest(centres, line["x0"])))
-        elif blocks and pg.wraps(blocks[-1], line, page):
-            blocks[-1].grow(line)
-        else:
-            blocks.append(pg.Block("paragraph", [line], pg.item_text_x(line)))
-    return [{"doc_id": lines[0]["doc_id"], "pos": i, "kind": b.kind, "level": b.level, "text": b.text} for i, b in enumerate(blocks)]
-
-
 def box_tables(boxes: list[dict], tolerance: float = 3.0) -> list[dict]:
     """One page's boxes as tables: boxes of one height side by side are a row, rows with the same edges below each other a table of
     two rows and two columns or more. Adds table, row and col to the boxes of tables. A fold."""

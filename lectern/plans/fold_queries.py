@@ -40,7 +40,7 @@ def paren_rows():
 @query("paren_markers", vectors(*[(n, i, KIND[k]) for n, (_, ks) in PAREN.items() for i, k in enumerate(ks.split())], names="doc_id, pos, kind"))
 def paren_markers(spark, d):
     rows = spark.createDataFrame(list(paren_rows()), "doc_id string, pos int, scheme string, token string, x double")
-    return fold_by_doc(rows, ["doc_id"], ["pos"], nb.paren_kinds, "doc_id string, pos int, kind string")
+    return nb.paren_kinds(rows, ["doc_id"], "pos").select("doc_id", "pos", "kind")
 
 
 P, H, B = "paragraph", "heading", "bullet"
@@ -105,7 +105,7 @@ def word_labels(spark, d):
         [(1, i, n, "abs", lv, o, ["decimal", "lowerLetter", "lowerRoman"], ["%1.", "%1.%2)", "(%3)"], [1, 1, 1]) for i, (n, lv, o) in enumerate(WORD)],
         "doc_id int, pos int, num_id string, abstract_id string, level int, override int, formats array<string>, templates array<string>, starts array<int>",
     )
-    return fold_by_doc(rows, ["doc_id"], ["pos"], nb.word_numbers, "pos int, label string")
+    return nb.word_numbers(rows, ["doc_id"], "pos").select("pos", "label")
 
 
 HANG = [(P, "a. x", 0), (P, "(i) y", 0), (B, "own", 0), (P, "text", 0), (P, "b. z", 0), (H, "head", 0), (P, "(ii) w", 1)]
@@ -115,10 +115,11 @@ HANG_OUT = [(P, 0, True), (P, 1, True), (B, 2, False), (P, 0, False), (P, 0, Tru
 @query("hanging_items", vectors(*[(i, *r) for i, r in enumerate(HANG_OUT)], names="pos, kind, level, hanging"))
 def hanging_items(spark, d):
     rows = spark.createDataFrame([(1, i, *r) for i, r in enumerate(HANG)], "doc_id int, pos int, kind string, text string, level int")
-    return fold_by_doc(rows, ["doc_id"], ["pos"], nb.hanging, "pos int, kind string, level int, hanging boolean")
+    return nb.hanging(rows, ["doc_id"], "pos").select("pos", "kind", "level", "hanging")
 
 
 @query("joined_paragraphs", vectors((1, "An insol­vency case"), (2, "We re-possess it"), (3, "Word- UK rest"), (4, "one two"), names="doc_id, text"))
 def joined_paragraphs(spark, d):
     rows = spark.createDataFrame([(1, 0, "An insol-"), (1, 1, "vency case"), (2, 0, "We re-"), (2, 1, "possess it"), (3, 0, "Word-"), (3, 1, "UK "), (3, 2, "rest"), (4, 0, "one"), (4, 1, " two ")], "doc_id int, pos int, line string")
-    return fold_by_doc(rows, ["doc_id"], ["pos"], lambda r: [{"doc_id": r[0]["doc_id"], "text": nb.joined_lines([x["line"] for x in r])}], "doc_id int, text string")
+    lines = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    return lines.select("doc_id", nb.joined_lines(F.transform("lines", lambda x: x["line"])).alias("text"))

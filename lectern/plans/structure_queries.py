@@ -55,7 +55,7 @@ def page_lines(spark):
     (3, 0, "paragraph", "1. One", None, None, 0, True), (3, 1, "paragraph", "2. Two", None, None, 0, True), (3, 2, "paragraph", "3. Three", None, None, 0, True), (3, 3, "heading", "I. INTRODUCTION AND MORE", None, "decimal", 0, True), (3, 4, "heading", "A. Sources", None, "alpha", 0, True),
     names="doc_id, pos, kind, text, label, style, level, selected"))
 def document_blocks(spark, d):
-    return fold_by_doc(page_lines(spark), ["doc_id"], ["line"], pg.document_blocks, "doc_id int, pos int, kind string, text string, label string, style string, level int, selected boolean")
+    return pg.document_blocks(page_lines(spark)).drop("page")
 
 
 PROSE = "this quoted sentence is long enough to be prose and not a formula, so it joins"
@@ -78,8 +78,7 @@ POINTS = [
 @query("slide_points", vectors(*POINTS, names="slide, pos, kind, level, text"))
 def slide_points(spark, d):
     rows = spark.createDataFrame([(n, i, k, x, lv, float(at), False, False) for n, r in SLIDES.items() for i, (k, x, lv, at) in enumerate(r)], "slide string, pos int, kind string, text string, level int, x double, bold boolean, starts_bold boolean")
-    points = fold_by_doc(rows, ["slide"], ["pos"], lambda r: [x | {"pos": i} for i, x in enumerate(pg.slide_points(r, nest_bullets=r[0]["slide"] == "B5"))], "slide string, pos int, kind string, level int, text string")
-    return points
+    return pg.slide_points(rows, ["slide"], "pos", F.col("slide") == "B5")
 
 
 @query("tick_states", """
@@ -269,7 +268,7 @@ def split_deck_tables(spark, d):
 def cell_blocks(spark, d):
     lines = [(0, 10.0, "One line", None), (1, 23.0, "and its wrap", None), (2, 40.0, "point", "•"), (3, 90.0, "Far below", None)]
     rows = spark.createDataFrame([(1, i, 1, 72.0, 200.0, y, 11.0, x, 0.0, b, 72.0, False, False, 600.0) for i, y, x, b in lines], "doc_id int, line int, page int, x0 double, x1 double, y0 double, size double, text string, bold double, bullet string, text_x double, in_box boolean, blank boolean, page_width double")
-    return fold_by_doc(rows, ["doc_id"], ["line"], dr.flow_blocks, "pos int, kind string, level int, text string")
+    return pg.flow_blocks(rows).drop("doc_id")
 
 
 @query("box_tables", vectors((0, 0, 0, 0), (1, 0, 0, 1), (2, 0, 1, 0), (3, 0, 1, 1), names='box, "table", row, col'))
