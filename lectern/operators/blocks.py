@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.fold import in_order, scan
 from lectern.operators.sequences import islands, ordered
 
 #: Kinds that bring their own spacing.
@@ -55,12 +56,18 @@ def counters(df: DataFrame, by: Sequence[str], order: Sequence[str], level: str,
     return df.withColumn(name, F.when(numbered, F.row_number().over(Window.partitionBy(*by, level, "_list").orderBy(*order)))).drop("_list")
 
 
-def text_segments(df: DataFrame, by: Sequence[str], order: Sequence[str], kind: str = "kind", limit: int = 150) -> DataFrame:
-    """segment: tables and images stand alone, text between them is cut after `limit` rows."""
+def text_segments(df: DataFrame, by: Sequence[str], order: str, kind: str = "kind", whole: Column | None = None, limit: int = 150) -> DataFrame:
+    """segment: tables and images stand alone, text between them is cut after `limit` rows, but never before a row of which `whole`
+    holds (a numbered list goes on there, and its second half would count anew)."""
     alone = F.col(kind).isin("table", "image")
-    w = ordered(by, order)
-    starts = alone | F.coalesce(F.lag(kind).over(w).isin("table", "image"), F.lit(True))
-    df = islands(df, by, order, starts, "_stretch")
-    at = F.row_number().over(Window.partitionBy(*by, "_stretch").orderBy(*order)) - 1
-    df = df.withColumn("_cut", at % limit == 0)
-    return islands(df, by, order, F.col("_cut"), "segment").drop("_stretch", "_cut")
+    before = F.lag(kind).over(ordered(by, [order]))
+    marked = df.withColumns({"_new": alone | F.coalesce(before.isin("table", "image"), F.lit(True)), "_stays": F.lit(False) if whole is None else F.coalesce(whole, F.lit(False))})
+    start = F.struct(F.lit(0).alias("n"))
+
+    def step(state: Column, row: Column) -> Column:
+        cut = row["_new"] | ((state["n"] >= limit) & ~row["_stays"])
+        return F.struct(F.struct(F.when(cut, 1).otherwise(state["n"] + 1).alias("n")).alias("state"), cut.alias("out"))
+
+    rows = in_order(marked.select(*by, order, "_new", "_stays"), by, order)
+    cuts = rows.select(*by, F.explode(F.zip_with("rows", scan(F.col("rows"), start, "boolean", step), lambda r, c: F.struct(r[order].alias(order), c.alias("_cut")))).alias("x")).select(*by, "x.*")
+    return islands(df.join(cuts, [*by, order]), by, [order], F.col("_cut"), "segment").drop("_cut")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,21 +53,14 @@ def box_tables(boxes: list[dict], tolerance: float = 3.0) -> list[dict]:
     return [b | {"table": n, "row": i, "col": j} for n, t in enumerate(t for t in tables if len(t) > 1) for i, row in enumerate(t) for j, b in enumerate(row)]
 
 
-def ruled_rows(items: list[dict], share: float = 0.6) -> list[dict]:
-    """One page's rules and lines (kind, x0, x1, y0, page_width) in order of y: rules over `share` of the width bound bands; the lines
-    between two rules get the band's number, other lines null. A fold."""
-    band, out, open_ = -1, [], []
-    for r in sorted(items, key=lambda r: r["y0"]):
-        if r["kind"] == "rule":
-            if r["x1"] - r["x0"] >= share * r["page_width"]:
-                if open_ and band >= 0:
-                    out += [x | {"band": band} for x in open_]
-                else:
-                    out += [x | {"band": None} for x in open_]
-                band, open_ = band + 1, []
-        else:
-            open_.append(r)
-    return out + [x | {"band": None} for x in open_]
+def ruled_bands(items: DataFrame, page: Sequence[str], order: str, share: float = 0.6) -> DataFrame:
+    """Rules and lines of pages (kind, x0, x1, y0, page_width): rules over `share` of the width bound bands; adds `band` to the lines, null
+    outside of two such rules."""
+    down = Window.partitionBy(*page).orderBy("y0", order)
+    wide = (F.col("kind") == "rule") & (F.col("x1") - F.col("x0") >= share * F.col("page_width"))
+    above, below = F.count_if(wide).over(down.rowsBetween(Window.unboundedPreceding, 0)), F.count_if(wide).over(down.rowsBetween(1, Window.unboundedFollowing))
+    marked = items.withColumn("band", F.when((above > 0) & (below > 0), above - 1))
+    return marked.where(F.col("kind") != "rule")
 
 
 def underlined(spans: DataFrame, rules: DataFrame, page: Sequence[str], span: str) -> DataFrame:

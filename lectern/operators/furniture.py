@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import furniture_key, lone_numbers
 
+#: Fixed value: an image on this share of the pages (and on three at least) is decoration.
+IMAGE_SHARE = 0.3
+
 
 def repeated_keys(df: DataFrame, document: str, page: str, text: str, share: float = 0.5, least: int = 2) -> DataFrame:
     """document, key: keys on at least `share` of a document's pages, and on `least` of them."""

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.binding import let
+from lectern.operators.fold import in_order, scan
 from lectern.operators.sequences import islands, kept_apart, ordered
 
 
@@ -62,43 +66,60 @@ def foreign(shapes: DataFrame, cells: DataFrame, page: Sequence[str], shape: str
 
 
 def touching(rows: list[dict], tolerance: float = 2.0) -> list[dict]:
-    """For one page's boxes: `group`, the least place among boxes that touch, directly or through others. A fold."""
-    group = list(range(len(rows)))
-    order = sorted(range(len(rows)), key=lambda i: rows[i]["x0"])
+    """For one page's boxes: `group`, the least place among boxes that touch, directly or through others. A fold (sweep and union)."""
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
     open_: list[int] = []
-    for i in order:
+    for i in sorted(parent, key=lambda i: rows[i]["x0"]):
         a = rows[i]
         open_ = [j for j in open_ if rows[j]["x1"] + tolerance >= a["x0"]]
         for j in open_:
-            b = rows[j]
-            if a["y0"] <= b["y1"] + tolerance and b["y0"] <= a["y1"] + tolerance and group[i] != group[j]:
-                low, high = sorted((group[i], group[j]))
-                group = [low if g == high else g for g in group]
+            if a["y0"] <= rows[j]["y1"] + tolerance and rows[j]["y0"] <= a["y1"] + tolerance:
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
         open_.append(i)
-    return [r | {"group": g} for r, g in zip(rows, group, strict=True)]
-
-
-def distinct_boxes(rows: list[dict], tolerance: float = 1.0) -> list[dict]:
-    """For one page's boxes in order: those not within the tolerance of a kept one on all edges. A fold."""
-    kept: list[dict] = []
-    for r in rows:
-        if not any(all(abs(r[c] - k[c]) <= tolerance for c in ("x0", "y0", "x1", "y1")) for k in kept):
-            kept.append(r)
-    return kept
-
-
-def visual_lines(rows: list[dict]) -> list[dict]:
-    """For one page's pieces in order: `line`, the first line so far that shares more than half of the smaller height. A fold."""
-    lines: list[list[float]] = []
-    out = []
-    for r in rows:
-        at = next((i for i, (a, b) in enumerate(lines) if min(b, r["y1"]) - max(a, r["y0"]) > 0.5 * min(b - a, r["y1"] - r["y0"])), len(lines))
-        if at == len(lines):
-            lines.append([r["y0"], r["y1"]])
-        else:
-            lines[at] = [min(lines[at][0], r["y0"]), max(lines[at][1], r["y1"])]
-        out.append(r | {"line": at})
-    return out
+    return [r | {"group": root(i)} for i, r in enumerate(rows)]
+
+
+def _listed(df: DataFrame, page: Sequence[str], order: str, state: str, emits: str, step) -> DataFrame:
+    rows = in_order(df, page, order)
+    told = scan(F.col("rows"), F.struct(F.array().cast(state).alias("kept")), emits, step)
+    return rows.select(*page, F.explode(F.zip_with("rows", told, lambda r, o: r.withField("_out", o))).alias("r")).select(*page, "r.*")
+
+
+def distinct_boxes(df: DataFrame, page: Sequence[str], order: str, tolerance: float = 1.0) -> DataFrame:
+    """Boxes of a page in order: those not within the tolerance of one kept before on all edges."""
+    edges = ("x0", "y0", "x1", "y1")
+
+    def step(state: Column, r: Column) -> Column:
+        new = ~F.exists(state["kept"], lambda k: reduce(and_, [F.abs(r[e] - k[e]) <= tolerance for e in edges]))
+        kept = F.when(new, F.concat(state["kept"], F.array(F.struct(*[r[e].alias(e) for e in edges])))).otherwise(state["kept"])
+        return F.struct(F.struct(kept.alias("kept")).alias("state"), new.alias("out"))
+
+    doubles = df.select(*page, order, *[F.col(e).cast("double").alias(e) for e in edges])
+    return _listed(doubles, page, order, "array<struct<x0:double,y0:double,x1:double,y1:double>>", "boolean", step).where("_out").drop("_out")
+
+
+def visual_lines(df: DataFrame, page: Sequence[str], order: str) -> DataFrame:
+    """Pieces (y0, y1) of a page in order with `line`: the first line so far that shares more than half of the smaller height, or a new one."""
+    def step(state: Column, r: Column) -> Column:
+        lines = state["kept"]
+        shares = F.transform(lines, lambda k: F.least(k["y1"], r["y1"]) - F.greatest(k["y0"], r["y0"]) > 0.5 * F.least(k["y1"] - k["y0"], r["y1"] - r["y0"]))
+        own = F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"))
+
+        def put(at: Column) -> Column:
+            grown = F.transform(lines, lambda k, i: F.when(i == at, F.struct(F.least(k["y0"], r["y0"]).alias("y0"), F.greatest(k["y1"], r["y1"]).alias("y1"))).otherwise(k))
+            return F.struct(F.struct(F.when(at == F.size(lines), F.concat(lines, F.array(own))).otherwise(grown).alias("kept")).alias("state"), at.alias("out"))
+
+        return let(F.when(F.exists(shares, lambda x: x), (F.array_position(shares, True) - 1).cast("int")).otherwise(F.size(lines)), put)
+
+    doubles = df.withColumns({"y0": F.col("y0").cast("double"), "y1": F.col("y1").cast("double")})
+    return _listed(doubles, page, order, "array<struct<y0:double,y1:double>>", "int", step).withColumnRenamed("_out", "line")
 
 
 def baseline_parts(df: DataFrame, line: Sequence[str], order: str, y: str, size: str) -> DataFrame:

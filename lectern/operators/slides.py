@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import numbering as nb
+from lectern.functions import markers as mk
+from lectern.operators.fold import scan
+from lectern.operators.sequences import islands
 
 # Glyphs that stand for bullets.
 BULLETS = "•◦▪■●○‣⁃–—-*➢❖✔"
@@ -47,18 +49,24 @@ def leading_bullet(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^\s*([•◦▪■●○‣⁃➢❖✔]|[–—*-](?=\s))", 1), F.lit(""))
 
 
-def column_gaps(rows: list[dict], least: float = 6.0, support: int = 3) -> list[dict]:
-    """Rows' empty stretches (row, x0, x1) that at least `support` rows share, narrowed to what they have in common. A fold over one table."""
-    shared: list[dict] = []
-    for r in sorted(rows, key=lambda r: (r["x0"], r["x1"])):
-        for g in shared:
-            low, high = max(g["x0"], r["x0"]), min(g["x1"], r["x1"])
-            if high - low >= least:
-                g.update(x0=low, x1=high, rows=g["rows"] | {r["row"]})
-                break
-        else:
-            shared.append({"doc_id": r["doc_id"], "x0": r["x0"], "x1": r["x1"], "rows": {r["row"]}})
-    return [{"doc_id": g["doc_id"], "x0": g["x0"], "x1": g["x1"], "support": len(g["rows"])} for g in shared if len(g["rows"]) >= support]
+def column_gaps(gaps: DataFrame, starts: DataFrame, by: Sequence[str], support: int = 3, reach: float = 4.0) -> DataFrame:
+    """gaps (x0, x1) between texts of a table's rows: those that overlap are one column's edge, narrowed to what they have in common.
+
+    An edge counts if so many gaps and lines that start (starts: x) within `reach` of its right end back it up."""
+    state = "struct<x0:double,x1:double>"
+
+    def step(now: Column, gap: Column) -> Column:
+        joins = F.coalesce(gap["x0"] < now["x1"], F.lit(False))
+        common = F.struct(F.when(joins, F.greatest(now["x0"], gap["x0"])).otherwise(gap["x0"]).alias("x0"), F.when(joins, F.least(now["x1"], gap["x1"])).otherwise(gap["x1"]).alias("x1"))
+        return F.struct(common.alias("state"), F.struct((~joins).alias("opens"), common["x0"].alias("x0"), common["x1"].alias("x1")).alias("out"))
+
+    rows = gaps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1")))).alias("rows"))
+    told = scan(F.col("rows"), F.from_json(F.lit("{}"), state), "struct<opens:boolean,x0:double,x1:double>", step)
+    edges = islands(rows.select(*by, F.posexplode(told).alias("at", "g")).select(*by, "at", "g.*"), by, ["at"], F.col("opens"), "edge")
+    edges = edges.groupBy(*by, "edge").agg(F.max_by("x0", "at").alias("x0"), F.max_by("x1", "at").alias("x1"), F.count("*").alias("n"))
+    near = edges.join(starts.select(*by, F.col("x").alias("_x")), list(by)).where(F.abs(F.col("_x") - F.col("x1")) <= reach).groupBy(*by, "edge").agg(F.count("*").alias("_starts"))
+    out = edges.join(near, [*by, "edge"], "left").withColumn("support", F.col("n") + F.coalesce("_starts", F.lit(0)))
+    return out.where(F.col("support") >= support).select(*by, "x0", "x1", "support")
 
 
 def diagrams(shapes: DataFrame, page: Sequence[str], group: str = "group") -> DataFrame:
@@ -70,19 +78,22 @@ def diagrams(shapes: DataFrame, page: Sequence[str], group: str = "group") -> Da
     return g.where("texts >= 2 and connectors >= 1").drop("texts", "connectors")
 
 
-def shape_numbers(rows: list[dict]) -> list[dict]:
-    """Paragraphs of one shape (level, scheme of its automatic number or None, start) -> label. A level's counter starts anew after
-    a shallower paragraph, or one of its level without a number or with another scheme. A fold."""
-    running: dict[int, tuple[str, int]] = {}
-    kinds = {"arabic": str, "alphaLc": lambda n: chr((n - 1) % 26 + 97), "alphaUc": lambda n: chr((n - 1) % 26 + 65), "romanLc": nb.roman, "romanUc": lambda n: nb.roman(n).upper()}
-    wraps = {"ParenBoth": "({})", "ParenR": "{})", "Period": "{}.", "Plain": "{}"}
-    for r in rows:
-        level = r["level"]
-        running = {k: v for k, v in running.items() if k < level or (k == level and r["scheme"] and v[0] == r["scheme"])}
-        r["label"] = None
-        if r["scheme"]:
-            n = running[level][1] + 1 if level in running else int(r["start"] or 1)
-            running[level] = (r["scheme"], n)
-            kind = next(k for k in kinds if r["scheme"].startswith(k))
-            r["label"] = wraps[r["scheme"][len(kind) :]].format(kinds[kind](n))
-    return rows
+def shape_numbers(df: DataFrame, by: Sequence[str], order: str, levels: int = 9) -> DataFrame:
+    """Paragraphs of shapes (level, scheme of the automatic number or null, start) with `label`. A level's counter starts anew after a
+    shallower paragraph, or one of its level without a number or with another scheme; so it is a row number."""
+    doc = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy(*by, "level").orderBy(order)
+    shallower = F.lit(None)
+    for k in range(levels):
+        shallower = F.when(F.col("level") == k, F.max(F.when(F.col("level") < k, F.col(order))).over(doc)).otherwise(shallower)
+    rows = df.withColumn("_up", shallower)
+    anew = ~F.col("scheme").eqNullSafe(F.lag("scheme").over(same)) | F.coalesce(F.col("_up") > F.lag(order).over(same), F.lit(False)) | F.lag(order).over(same).isNull()
+    rows = islands(rows.withColumn("_anew", anew), [*by, "level"], [order], F.col("_anew"), "_count")
+    count = Window.partitionBy(*by, "level", "_count").orderBy(order)
+    n = (F.coalesce(F.first("start").over(count), F.lit(1)) + F.row_number().over(count) - 1).cast("int")
+    rows = rows.withColumn("_n", n)
+    scheme, n = F.col("scheme"), F.col("_n")
+    letter = mk.wrapped_letter(n)
+    number = F.when(scheme.startswith("alphaLc"), letter).when(scheme.startswith("alphaUc"), F.upper(letter)).when(scheme.startswith("romanLc"), mk.roman(n)).when(scheme.startswith("romanUc"), F.upper(mk.roman(n))).otherwise(n.cast("string"))
+    shape = F.when(scheme.endswith("ParenBoth"), F.concat(F.lit("("), number, F.lit(")"))).when(scheme.endswith("ParenR"), F.concat(number, F.lit(")"))).when(scheme.endswith("Period"), F.concat(number, F.lit("."))).otherwise(number)
+    return rows.withColumn("label", F.when(scheme.isNotNull(), shape)).select(*df.columns, "label")

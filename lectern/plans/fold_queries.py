@@ -1,4 +1,4 @@
-"""Queries that run ordered folds; their SQL states the expected rows of the vectors."""
+"""Queries that convert typed lists."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lectern.operators import numbering as nb
 from lectern.operators.fold import fold_by_doc
-from lectern.plans.scalar_queries import vectors
 from lectern.sources import corpus as c
 
 QUERIES, SQL = {}, {}
@@ -22,61 +21,10 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-PAREN = {
-    "N1": ("1. (a) (b) (i) (ii) (c)", "D A A R R A"), "N2": ("1. (a) (b) (c) (d) (e) (f) (g) (h) (i) 2.", "D A A A A A A A A A D"), "N3": ("(g) (h) (i) (ii) (j)", "A A R R A"),
-    "N4": ("(f) (g) (i) (h)", "A A R A"), "N5": ("(a) (i) (ii) (iii) (iv) (v) (b)", "A R R R R R A"), "N6": ("(a) (b) (c) (d)", "A A A A"),
-    "N7": ("(a) (i) (b) (c) (d) (e) (f) (g) (h) (i) (ii)", "A R A A A A A A A A R"),
-}
-KIND = {"D": "decimal", "A": "alpha", "R": "roman"}
-
-
-def paren_rows():
-    for name, (tokens, _) in PAREN.items():
-        for i, t in enumerate(tokens.split()):
-            x = 0.0 if name != "N7" else 100.0 if i in (1, 10) else 72.0
-            yield name, i, "paren" if t[0] == "(" else "decimal", t.strip("()."), x
-
-
-@query("paren_markers", vectors(*[(n, i, KIND[k]) for n, (_, ks) in PAREN.items() for i, k in enumerate(ks.split())], names="doc_id, pos, kind"))
-def paren_markers(spark, d):
-    rows = spark.createDataFrame(list(paren_rows()), "doc_id string, pos int, scheme string, token string, x double")
-    return nb.paren_kinds(rows, ["doc_id"], "pos").select("doc_id", "pos", "kind")
-
-
-P, H, B = "paragraph", "heading", "bullet"
-LISTS = {
-    "L1": ([(P, "1. x"), (P, "a. x"), (P, "b. x"), (P, "2. x")], [(B, 0, "1.", False, False), (B, 1, "a.", False, False), (B, 1, "b.", False, False), (B, 0, "2.", False, False)]),
-    "L2": ([(P, "(1) x"), (P, "plain")], [(P, 0, None, False, False)] * 2),
-    "L3": ([(P, "(3) x"), (P, "(4) x")], [(P, 0, None, False, False)] * 2),
-    "L4": ([(P, "1. x"), (P, "2. x"), (P, "1. x"), (P, "2. x")], [(B, 0, "1.", False, False), (B, 0, "2.", False, False), (B, 0, "1.", True, False), (B, 0, "2.", False, False)]),
-    "L5": ([(P, "1. x"), (B, "own"), (P, "2. x")], [(B, 0, "1.", False, False), (B, 1, None, False, True), (B, 0, "2.", False, False)]),
-    "L6": ([(P, "1. x"), (P, "(a) x"), (P, "plain"), (P, "2. x"), (H, "head"), (P, "3. x"), (P, "ii. stray"), (P, "4. x")],
-           [(B, 0, "1.", False, False), (B, 1, "a.", False, False), (P, 2, None, False, True), (B, 0, "2.", False, False), (H, 0, None, False, True), (B, 0, "3.", False, False), (P, 1, None, False, True), (B, 0, "4.", False, False)]),
-    "L7": ([(P, "1. x"), (P, "2. x"), (H, "head"), (P, "a. x"), (P, "b. x")], [(B, 0, "1.", False, False), (B, 0, "2.", False, False), (H, 0, None, False, False), (P, 0, None, False, False), (P, 0, None, False, False)]),
-}
-
-
-@query("converted_lists", vectors(*[(n, i, *r) for n, (_, out) in LISTS.items() for i, r in enumerate(out)], names="doc_id, pos, kind, level, label, list_start, in_list"))
-def converted_lists(spark, d):
-    rows = spark.createDataFrame([(n, i, k, t, 0) for n, (blocks, _) in LISTS.items() for i, (k, t) in enumerate(blocks)], "doc_id string, pos int, kind string, text string, level int")
-    return fold_by_doc(rows, ["doc_id"], ["pos"], lambda r: nb.converted(r, gaps=r[0]["doc_id"] in ("L6", "L7")), "doc_id string, pos int, kind string, level int, label string, list_start boolean, in_list boolean")
+P = "paragraph"
 
 
 @query("order_lists", f"""
-WITH {c.ITEMS_SQL}, v AS (SELECT doc_id, bool_and(number = pos + 1) AND count(*) >= 2 AS valid FROM order_items GROUP BY doc_id)
-SELECT i.doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN valid THEN 'bullet' ELSE 'paragraph' END AS kind, CASE WHEN valid THEN (pos + 1) || '.' END AS label FROM order_items i JOIN v USING (doc_id)
-WHERE doc_id IN (SELECT doc_id FROM order_items GROUP BY doc_id HAVING bool_and(number = pos + 1))""")
-def order_lists(spark, d):
-    """Only orders whose items count up from 1, as typed paragraphs: each becomes one numbered list, single items stay text.
-
-    all_order_lists takes all orders."""
-    items = c.order_items(spark, d)
-    whole = items.groupBy("doc_id").agg(F.bool_and(F.col("number") == F.col("pos") + 1).alias("ok")).where("ok").drop("ok")
-    rows = items.join(whole, "doc_id").select("doc_id", "pos", F.lit(P).alias("kind"), F.concat(F.col("number").cast("string"), F.lit(". "), "name").alias("text"), F.lit(0).alias("level"))
-    return fold_by_doc(rows, ["doc_id"], ["pos"], nb.converted, "doc_id bigint, pos int, kind string, label string")
-
-
-@query("all_order_lists", f"""
 WITH RECURSIVE {c.ITEMS_SQL}, o AS (SELECT doc_id, list(number ORDER BY pos) AS ns FROM order_items GROUP BY doc_id),
 w AS (SELECT doc_id, ns, 1 AS i, CAST(NULL AS BIGINT) AS last, 0 AS strays, 0 AS stray, 0 AS list, 0 AS took FROM o
   UNION ALL SELECT doc_id, ns, CASE WHEN restarts THEN i WHEN ends THEN CASE WHEN strays = 0 THEN i ELSE stray END ELSE i + 1 END, CASE WHEN fits THEN ns[i] WHEN restarts OR ends THEN NULL ELSE last END,
@@ -86,40 +34,8 @@ w AS (SELECT doc_id, ns, 1 AS i, CAST(NULL AS BIGINT) AS last, 0 AS strays, 0 AS
 t AS (SELECT doc_id, took - 1 AS pos, ns[took] AS number, count(*) OVER l AS n, min(ns[took]) OVER l AS least FROM w WHERE took > 0 WINDOW l AS (PARTITION BY doc_id, list))
 SELECT i.doc_id, CAST(i.pos AS INTEGER) AS pos, CASE WHEN t.n >= 2 AND t.least = 1 THEN 'bullet' ELSE 'paragraph' END AS kind, CASE WHEN t.n >= 2 AND t.least = 1 THEN t.number || '.' END AS label
 FROM order_items i LEFT JOIN t ON i.doc_id = t.doc_id AND i.pos = t.pos""")
-def all_order_lists(spark, d):
+def order_lists(spark, d):
     """Every order as typed paragraphs, however its items count: lists restart, strays stay within or end them, and lists that
     don't count up from 1 stay text."""
     rows = c.order_items(spark, d).select("doc_id", "pos", F.lit(P).alias("kind"), F.concat(F.col("number").cast("string"), F.lit(". "), "name").alias("text"), F.lit(0).alias("level"))
     return fold_by_doc(rows, ["doc_id"], ["pos"], nb.converted, "doc_id bigint, pos int, kind string, label string")
-
-
-WORD = [  # num_id, level, override
-    ("n1", 0, None), ("n1", 1, None), ("n1", 1, None), ("n1", 0, None), ("n1", 1, None), ("n2", 0, None), ("n3", 0, 5), ("n3", 0, 5), ("n1", 2, None), ("n1", 0, None),
-]
-WORD_LABELS = ["1.", "1.a)", "1.b)", "2.", "2.a)", "3.", "5.", "6.", "(i)", "7."]
-
-
-@query("word_labels", vectors(*[(i, x) for i, x in enumerate(WORD_LABELS)], names="pos, label"))
-def word_labels(spark, d):
-    rows = spark.createDataFrame(
-        [(1, i, n, "abs", lv, o, ["decimal", "lowerLetter", "lowerRoman"], ["%1.", "%1.%2)", "(%3)"], [1, 1, 1]) for i, (n, lv, o) in enumerate(WORD)],
-        "doc_id int, pos int, num_id string, abstract_id string, level int, override int, formats array<string>, templates array<string>, starts array<int>",
-    )
-    return nb.word_numbers(rows, ["doc_id"], "pos").select("pos", "label")
-
-
-HANG = [(P, "a. x", 0), (P, "(i) y", 0), (B, "own", 0), (P, "text", 0), (P, "b. z", 0), (H, "head", 0), (P, "(ii) w", 1)]
-HANG_OUT = [(P, 0, True), (P, 1, True), (B, 2, False), (P, 0, False), (P, 0, True), (H, 0, False), (P, 1, True)]
-
-
-@query("hanging_items", vectors(*[(i, *r) for i, r in enumerate(HANG_OUT)], names="pos, kind, level, hanging"))
-def hanging_items(spark, d):
-    rows = spark.createDataFrame([(1, i, *r) for i, r in enumerate(HANG)], "doc_id int, pos int, kind string, text string, level int")
-    return nb.hanging(rows, ["doc_id"], "pos").select("pos", "kind", "level", "hanging")
-
-
-@query("joined_paragraphs", vectors((1, "An insol­vency case"), (2, "We re-possess it"), (3, "Word- UK rest"), (4, "one two"), names="doc_id, text"))
-def joined_paragraphs(spark, d):
-    rows = spark.createDataFrame([(1, 0, "An insol-"), (1, 1, "vency case"), (2, 0, "We re-"), (2, 1, "possess it"), (3, 0, "Word-"), (3, 1, "UK "), (3, 2, "rest"), (4, 0, "one"), (4, 1, " two ")], "doc_id int, pos int, line string")
-    lines = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
-    return lines.select("doc_id", nb.joined_lines(F.transform("lines", lambda x: x["line"])).alias("text"))

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import edits as ed
 from lectern.operators import layout as ly
 from lectern.operators.fold import fold_by_doc
-from lectern.plans.scalar_queries import vectors
 from lectern.sources import corpus as c
-from lectern.sources import target as tg
 
 QUERIES, SQL = {}, {}
 
@@ -94,27 +92,6 @@ def touching_boxes(spark, d):
     return fold_by_doc(boxes(spark, d), ["doc_id"], ["box"], ly.touching, "doc_id bigint, box bigint, group bigint")
 
 
-PIECES = [(1, 0, 10, 20), (1, 1, 12, 22), (1, 2, 21, 31), (1, 3, 30, 40), (1, 4, 11, 15), (2, 0, 0, 5), (2, 1, 2.5, 9)]
-
-
-@query("visual_lines", vectors((1, 0, 0), (1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 0), (2, 0, 0), (2, 1, 1), names="doc_id, pos, line"))
-def visual_lines(spark, d):
-    rows = spark.createDataFrame([(a, b, float(y), float(z)) for a, b, y, z in PIECES], "doc_id int, pos int, y0 double, y1 double")
-    return fold_by_doc(rows, ["doc_id"], ["pos"], ly.visual_lines, "doc_id int, pos int, line int")
-
-
-@query("distinct_rects", vectors((1, 0), (1, 2), (1, 3), names="doc_id, pos"))
-def distinct_rects(spark, d):
-    rows = spark.createDataFrame([(1, 0, 0.0, 0.0, 9.0, 9.0), (1, 1, 0.5, 0.0, 9.0, 8.5), (1, 2, 1.4, 0.0, 9.0, 9.0), (1, 3, 0.0, 5.0, 9.0, 9.0)], "doc_id int, pos int, x0 double, y0 double, x1 double, y1 double")
-    return fold_by_doc(rows, ["doc_id"], ["pos"], ly.distinct_boxes, "doc_id int, pos int")
-
-
-@query("grid_tables", vectors((0, 0, 0, 1, 2), (1, 1, 0, 1, 1), (2, 1, 1, 1, 1), (3, 0, 2, 2, 1), names="pos, row, col, rowspan, colspan"))
-def grid_tables(spark, d):
-    cells = spark.createDataFrame([(1, 0, 0.0, 0.0, 100.0, 20.0), (1, 1, 0.5, 20.0, 50.0, 41.0), (1, 2, 50.5, 20.5, 100.0, 40.0), (1, 3, 101.0, 0.0, 150.0, 40.5)], "doc_id int, pos int, x0 double, y0 double, x1 double, y1 double")
-    return ly.grid_cells(cells, ["doc_id"]).select("pos", "row", "col", "rowspan", "colspan")
-
-
 @query("baseline_parts", """
 WITH e AS (SELECT user_id AS doc_id, event_id AS pos, value AS y, 10.0::DOUBLE + event_id % 3 AS size FROM events),
 j AS (SELECT *, lag(y) OVER w AS py, lag(size) OVER w AS ps FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
@@ -171,102 +148,3 @@ e AS (
 SELECT doc_id, phase, CAST(row_number() OVER (PARTITION BY doc_id, phase ORDER BY CASE WHEN phase = 7 THEN -start ELSE start END, "end") AS INTEGER) AS seq, op, start, "end", payload FROM e""")
 def edit_plans(spark, d):
     return ed.edit_plan(line_blocks(spark, d)).select("doc_id", "phase", "seq", "op", "start", "end", "payload")
-
-
-NUMBERED = [  # kind, level, numbered, list_start, in_list, hanging
-    ("bullet", 0, "decimal", False, False, False), ("bullet", 1, "decimal", False, False, False), ("paragraph", 1, None, False, True, False), ("bullet", 0, "decimal", False, False, False),
-    ("bullet", 0, "decimal", True, False, False), ("paragraph", 1, None, False, False, True), ("bullet", 0, None, False, False, False), ("bullet", 2, None, False, False, False),
-]
-
-
-@query("bullet_groups", vectors((1, 16, 18, "plain"), (2, 9, 11, "decimal"), (3, 1, 9, "decimal"), names="seq, start, \"end\", preset").replace("16, 18", "14, 20").replace("9, 11", "10, 12").replace("1, 9,", "1, 10,"))
-def bullet_groups(spark, d):
-    """Texts of one letter: places follow from letters, line ends and the tabs of levels."""
-    rows = spark.createDataFrame([(1, i, k, "x", lv, "NORMAL_TEXT", n, s, li, h) for i, (k, lv, n, s, li, h) in enumerate(NUMBERED)],
-                                 "doc_id int, pos int, kind string, text string, level int, style string, numbered string, list_start boolean, in_list boolean, hanging boolean")
-    plan = ed.edit_plan(rows).where("op = 'createParagraphBullets'")
-    return plan.select("seq", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("payload").alias("preset"))
-
-
-@query("cell_edits", vectors((1, 2, 1, "updateTableCellStyle", "#00FF00"), (2, 0, 0, "mergeTableCells", "1x2"), (3, 0, 0, "updateTableCellStyle", "#FF0000"), names="seq, row, col, op, payload"))
-def cell_edits(spark, d):
-    cells = spark.createDataFrame([(1, 0, 0, 1, 2, "#FF0000"), (1, 1, 0, 1, 1, None), (1, 2, 1, 1, 1, "#00FF00")], "doc_id int, row int, col int, rowspan int, colspan int, background string")
-    return ed.cell_edits(cells).select("seq", "row", "col", "op", "payload")
-
-
-def inherited(styles, depth: int = 20):
-    """styles (doc_id, style_id, base_id, bold, level) -> each style's own values or those of the nearest ancestor that has them."""
-    spark = styles.sparkSession
-    styles.createOrReplaceTempView("_styles")
-    chain = spark.sql(f"""WITH RECURSIVE s AS (
-        SELECT doc_id, style_id, base_id, bold, level, 0 AS hops FROM _styles
-        UNION ALL SELECT s.doc_id, s.style_id, b.base_id, b.bold, b.level, s.hops + 1 FROM s JOIN _styles b ON s.doc_id = b.doc_id AND s.base_id = b.style_id WHERE s.hops < {depth}) SELECT * FROM s""")
-    def nearest(name):
-        return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("hops"))).alias(name)
-
-    return chain.groupBy("doc_id", "style_id").agg(nearest("bold"), nearest("level"))
-
-
-@query("inherited_styles", vectors((1, "base", True, None), (1, "mid", True, 2), (1, "leaf", False, 2), (1, "loop", None, 1), (2, "base", None, None), names="doc_id, style_id, bold, level"))
-def inherited_styles(spark, d):
-    rows = spark.createDataFrame([(1, "base", None, True, None), (1, "mid", "base", None, 2), (1, "leaf", "mid", False, None), (1, "loop", "loop", None, 1), (2, "base", None, None, None)], "doc_id int, style_id string, base_id string, bold boolean, level int")
-    return inherited(rows)
-
-
-@query("list_definitions", vectors((1, "a", 0, "lowerRoman", 4), (1, "b", 0, "decimal", 1), (1, "c", 0, None, 1), names="doc_id, num_id, level, format, start"))
-def list_definitions(spark, d):
-    """num_id -> abstract list -> level, with overrides of the start."""
-    used = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (1, "c", 0)], "doc_id int, num_id string, level int")
-    nums = spark.createDataFrame([(1, "a", "A"), (1, "b", "B")], "doc_id int, num_id string, abstract_id string")
-    levels = spark.createDataFrame([(1, "A", 0, "lowerRoman", 2), (1, "B", 0, "decimal", 1)], "doc_id int, abstract_id string, level int, format string, start int")
-    overrides = spark.createDataFrame([(1, "a", 0, 4)], "doc_id int, num_id string, level int, override int")
-    met = used.join(nums, ["doc_id", "num_id"], "left").join(levels, ["doc_id", "abstract_id", "level"], "left").join(overrides, ["doc_id", "num_id", "level"], "left")
-    return met.select("doc_id", "num_id", "level", "format", F.coalesce("override", "start", F.lit(1)).alias("start"))
-
-
-@query("list_presets", vectors(("l1", "BULLET_DISC"), ("l2", "NUMBERED"), ("l3", "BULLET_DISC"), names="list_id, preset"))
-def list_presets(spark, d):
-    """A list's preset by its first glyph, a disc where that is unknown."""
-    lists = spark.createDataFrame([("l1", "●"), ("l2", "%0."), ("l3", "?")], "list_id string, glyph string")
-    known = F.create_map(*[F.lit(x) for kv in {"●": "BULLET_DISC", "❖": "BULLET_DIAMOND", "%0.": "NUMBERED"}.items() for x in kv])
-    return lists.select("list_id", F.coalesce(F.element_at(known, F.col("glyph")), F.lit("BULLET_DISC")).alias("preset"))
-
-
-@query("usable_widths", vectors((1, 468.0), (2, 100.0), (3, 468.0), names="doc_id, width").replace("SELECT *", "SELECT doc_id, CAST(width AS DOUBLE) AS width"))
-def usable_widths(spark, d):
-    """Page less margins, 100 at least, 468 where unknown."""
-    pages = spark.createDataFrame([(1, 612.0, 72.0, 72.0), (2, 200.0, 72.0, 72.0), (3, None, None, None)], "doc_id int, page double, left_margin double, right_margin double")
-    return pages.select("doc_id", F.when(F.col("page").isNotNull(), F.greatest(F.lit(100.0), F.col("page") - F.col("left_margin") - F.col("right_margin"))).otherwise(F.lit(468.0)).alias("width"))
-
-
-def para(start, text, style="NORMAL_TEXT", bullet=""):
-    return '{"startIndex": %d, "endIndex": %d, "paragraph": {"elements": [{"textRun": {"content": "%s\\\\n"}}], "paragraphStyle": {"namedStyleType": "%s"}%s}}'.replace("\\\\", "\\") % (start, start + len(text) + 1, text, style, bullet)
-
-
-BODY = [para(1, "Top", "TITLE"), para(5, "one"), para(9, "Sub", "HEADING_2"), para(13, "two", bullet=', "bullet": {"listId": "k1"}'), '{"startIndex": 17, "endIndex": 30, "table": {"rows": 2, "columns": 1}}', para(30, "")]
-RAW = '{"body": {"content": [{"endIndex": 1, "sectionBreak": {}}, %s]}, "tabs": [{"tabProperties": {"tabId": "t.1", "title": "A"}, "childTabs": [{"tabProperties": {"tabId": "t.2", "title": "B"}, "childTabs": [{"tabProperties": {"tabId": "t.3", "title": "C"}}]}]}, {"tabProperties": {"tabId": "t.4", "title": "D"}}]}' % ", ".join(BODY)
-
-
-def target(spark):
-    return spark.createDataFrame([("d1", RAW)], "doc_id string, raw string")
-
-
-@query("target_tabs", vectors(("t.1", "A", 1, 1), ("t.2", "B", 2, 2), ("t.3", "C", 3, 3), ("t.4", "D", 1, 4), names="tab_id, title, depth, place"))
-def target_tabs(spark, d):
-    return tg.tabs(spark, target(spark)).select("tab_id", "title", "depth", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")).alias("place"))
-
-
-@query("target_headings", vectors(("d1", 1, "Top", 1), ("d1", 9, "Sub", 2), names="doc_id, start_index, text, level").replace("SELECT *", "SELECT doc_id, CAST(start_index AS BIGINT) AS start_index, text, level"))
-def target_headings(spark, d):
-    return tg.headings(tg.body(target(spark))).select("doc_id", "start_index", "text", "level")
-
-
-@query("target_ends", vectors(("d1", 30, True, True), names='doc_id, "end", blank, after_table').replace("SELECT *", 'SELECT doc_id, CAST("end" AS BIGINT) AS "end", blank, after_table'))
-def target_ends(spark, d):
-    return tg.end_state(tg.body(target(spark)))
-
-
-@query("rematched_headings", vectors(("d1", 9, "Sub", 9), ("d1", 77, "Top", 1), ("d1", 5, "gone", None), names='doc_id, start_index, text, "now"').replace("SELECT *", 'SELECT doc_id, CAST(start_index AS BIGINT) AS start_index, text, CAST("now" AS BIGINT) AS "now"'))
-def rematched_headings(spark, d):
-    wanted = spark.createDataFrame([("d1", 9, "Sub"), ("d1", 77, "Top"), ("d1", 5, "gone")], "doc_id string, start_index bigint, text string")
-    return tg.rematched(tg.headings(tg.body(target(spark))), wanted)

@@ -94,42 +94,6 @@ def line_markers(spark, d):
     return found.select("doc_id", "pos", "mk.scheme", "mk.token", "mk.label", "item")
 
 
-@query("marker_vectors", """
-SELECT * FROM (VALUES ('1. X', 'decimal', '1', '1.', '1'), ('(ii) X', 'paren', 'ii', '(ii)', 'ii'), ('1.5 m', NULL, NULL, NULL, NULL), ('Section 1', NULL, NULL, NULL, NULL),
-  ('Dr. Tan', NULL, NULL, NULL, NULL), ('MR. S', NULL, NULL, NULL, NULL), ('b) x', NULL, NULL, NULL, 'b'), ('12.', 'decimal', '12', '12.', NULL), ('(AA) x', 'paren', 'aa', '(AA)', 'AA'),
-  ('iv. x', NULL, NULL, NULL, 'iv'), ('(1234) x', NULL, NULL, NULL, NULL), ('1.1 x', NULL, NULL, NULL, NULL)) v(line, scheme, token, label, item)""")
-def marker_vectors(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('1. X'), ('(ii) X'), ('1.5 m'), ('Section 1'), ('Dr. Tan'), ('MR. S'), ('b) x'), ('12.'), ('(AA) x'), ('iv. x'), ('(1234) x'), ('1.1 x') AS v(line)")
-    return rows.select("line", m.heading_marker(F.col("line")).alias("mk"), m.item_marker(F.col("line")).alias("item")).select("line", "mk.scheme", "mk.token", "mk.label", "item")
-
-
-@query("roman_values", """
-WITH n AS (SELECT CAST(unnest(range(1, 4000)) AS INTEGER) AS n),
-r AS (SELECT n, repeat('m', n // 1000) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][n // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][n // 10 % 10 + 1]
-  || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1] AS numeral FROM n)
-SELECT n, numeral, n AS back, true AS well_formed FROM r""")
-def roman_values(spark, d):
-    n = spark.range(1, 4000).select(F.col("id").cast("int").alias("n"))
-    r = n.withColumn("numeral", m.roman(F.col("n")))
-    return r.select("n", "numeral", m.roman_value(F.col("numeral")).alias("back"), m.is_roman(F.col("numeral")).alias("well_formed"))
-
-
-@query("letter_labels", """
-WITH n AS (SELECT CAST(unnest(range(1, 2000)) AS INTEGER) AS n)
-SELECT n, CASE WHEN n > 702 THEN chr(97 + (n - 703) // 676) ELSE '' END || CASE WHEN n > 26 THEN chr(97 + ((n - 27) // 26) % 26) ELSE '' END || chr(97 + (n - 1) % 26) AS base26,
-  chr(97 + (n - 1) % 26) AS wrapped, CASE WHEN n < 10 THEN '0' || n ELSE CAST(n AS VARCHAR) END AS zero_padded FROM n""")
-def letter_labels(spark, d):
-    n = spark.range(1, 2000).select(F.col("id").cast("int").alias("n"))
-    zero = m.number_label(F.lit("decimalZero"), F.col("n"))
-    return n.select("n", m.number_label(F.lit("lowerLetter"), F.col("n")).alias("base26"), m.wrapped_letter(F.col("n")).alias("wrapped"), zero.alias("zero_padded"))
-
-
-@query("next_letters", """
-SELECT * FROM (VALUES (NULL, 'a'), ('a', 'b'), ('h', 'i'), ('z', 'aa'), ('zz', 'aaa'), ('aa', 'bb'), ('ab', 'ac'), ('B', 'c')) v(token, following)""")
-def next_letters(spark, d):
-    return spark.sql("SELECT * FROM VALUES (NULL), ('a'), ('h'), ('z'), ('zz'), ('aa'), ('ab'), ('B') AS v(token)").select("token", m.next_letter(F.col("token")).alias("following"))
-
-
 @query("normalised_lines", f"""
 WITH {c.LINES_SQL} SELECT doc_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(line, '{B}', ' ', 'g')) AS collapsed,
   lower(regexp_replace(trim(regexp_replace(line, '{B}', ' ', 'g')), '^[.:]+|[.:]+$', '', 'g')) AS title_key,
@@ -148,11 +112,6 @@ def paragraph_offsets(spark, d):
     return s.offsets(lines, ["doc_id"], ["pos"], F.col("units"))
 
 
-@query("utf16_vectors", """SELECT * FROM (VALUES ('abc', 3), ('é', 1), ('𝒜b', 3), ('🎉🎉', 4), ('', 0)) v(text, units)""")
-def utf16_vectors(spark, d):
-    return spark.sql("SELECT * FROM VALUES ('abc'), ('é'), ('𝒜b'), ('🎉🎉'), ('') AS v(text)").select("text", t.utf16_length(F.col("text")).cast("int").alias("units"))
-
-
 @query("vocabulary", f"""
 WITH {c.LINES_SQL} SELECT lang, count(DISTINCT w) AS words, count(*) AS word_docs FROM (SELECT DISTINCT lang, doc_id, lower(unnest(regexp_extract_all(line, '[A-Za-z]+'))) AS w FROM lines) GROUP BY lang""")
 def vocabulary(spark, d):
@@ -173,14 +132,6 @@ def hyphen_joined(df, vocabulary_, document="doc_id"):
                           .when(F.col("known").isNotNull(), F.concat(F.expr("left(left_part, length(left_part) - 1)"), "right_part")).otherwise(F.concat("left_part", "right_part")))
 
 
-@query("hyphen_vectors", """
-SELECT * FROM (VALUES (1, 'insol-', 'vency', 'insolvency'), (1, 'decision-', 'specific', 'decision-specific'), (1, 're-', 'possess', 're-possess'), (1, 'Word-', 'UK', 'Word- UK'), (2, 'insol-', 'vency', 'insol-vency')) v(doc_id, left_part, right_part, joined)""")
-def hyphen_vectors(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'insol-', 'vency'), (1, 'decision-', 'specific'), (1, 're-', 'possess'), (1, 'Word-', 'UK'), (2, 'insol-', 'vency') AS v(doc_id, left_part, right_part)")
-    words = spark.sql("SELECT doc_id, lower(w) AS w, true AS known FROM VALUES (1, 'Insolvency'), (1, 'repossess') AS v(doc_id, w)")
-    return hyphen_joined(rows, words).select("doc_id", "left_part", "right_part", "joined")
-
-
 @query("hyphen_lines", f"""
 WITH {c.LINES_SQL}, w AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(line, '[A-Za-z]+'))) AS w FROM lines),
 a AS (SELECT doc_id, pos, regexp_extract(line, '([A-Za-z]+)[^A-Za-z]*$', 1) AS x, regexp_extract(lead(line) OVER (PARTITION BY doc_id ORDER BY pos), '^([a-zA-Z]+)', 1) AS y FROM lines),

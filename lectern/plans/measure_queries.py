@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import markers as m
 from lectern.operators import blocks as bl
+from lectern.operators import furniture as fu
 from lectern.operators import sequences as s
 from lectern.operators import tables as tb
 from lectern.sources import corpus as c
@@ -190,13 +191,13 @@ def bounding_boxes(spark, d):
 @query("repeated_images", """
 WITH i AS (SELECT DISTINCT c_nationkey AS doc_id, c_custkey AS page, o_orderpriority AS image FROM orders JOIN customer ON o_custkey = c_custkey),
 n AS (SELECT doc_id, count(DISTINCT page) AS n FROM i GROUP BY doc_id)
-SELECT doc_id, image, pages FROM (SELECT doc_id, image, count(*) AS pages FROM i GROUP BY doc_id, image) JOIN n USING (doc_id) WHERE n >= 3 AND pages >= greatest(3, 0.95::DOUBLE * n)""")
+SELECT doc_id, image, pages FROM (SELECT doc_id, image, count(*) AS pages FROM i GROUP BY doc_id, image) JOIN n USING (doc_id) WHERE n >= 3 AND pages >= greatest(3, 0.3::DOUBLE * n)""")
 def repeated_images(spark, d):
     customer = c.read(spark, d, "customer").select(F.col("c_custkey").alias("page"), F.col("c_nationkey").alias("doc_id"))
     seen = c.read(spark, d, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderpriority").alias("image")).distinct().join(customer, "page")
     n = seen.groupBy("doc_id").agg(F.count_distinct("page").alias("n"))
     found = seen.groupBy("doc_id", "image").agg(F.count("*").alias("pages")).join(n, "doc_id")
-    return found.where("n >= 3 and pages >= greatest(3D, 0.95D * n)").select("doc_id", "image", "pages")
+    return found.where((F.col("n") >= 3) & (F.col("pages") >= F.greatest(F.lit(3.0), fu.IMAGE_SHARE * F.col("n")))).select("doc_id", "image", "pages")
 
 
 @query("list_id_modes", """
@@ -216,20 +217,6 @@ def recent_top10(spark, d):
     return used.orderBy(F.desc("last_used"), "doc_id").limit(10)
 
 
-def remembered(recents, added, keep: int = 10):
-    """recents with the added ones in their place, the newest `keep` of them. Times decide; ids break ties."""
-    kept = recents.join(added.select("doc_id"), "doc_id", "left_anti").unionByName(added)
-    return kept.orderBy(F.desc("last_used"), "doc_id").limit(keep)
-
-
-@query("recents_upsert", """
-WITH r AS (SELECT 'id' || i AS doc_id, 'old ' || i AS title, CAST(i AS DOUBLE) AS last_used FROM (SELECT unnest(range(0, 12)) AS i)), a AS (SELECT 'id3' AS doc_id, 'new' AS title, 100.0::DOUBLE AS last_used)
-SELECT * FROM (SELECT * FROM r WHERE doc_id NOT IN (SELECT doc_id FROM a) UNION ALL SELECT * FROM a) ORDER BY last_used DESC LIMIT 10""")
-def recents_upsert(spark, d):
-    old = spark.range(12).select(F.concat(F.lit("id"), "id").alias("doc_id"), F.concat(F.lit("old "), "id").alias("title"), F.col("id").cast("double").alias("last_used"))
-    return remembered(old, spark.sql("SELECT 'id3' AS doc_id, 'new' AS title, 100.0D AS last_used"))
-
-
 @query("running_mean_x", """
 SELECT event_id, CAST(sum(CASE WHEN event_type = 'click' THEN v END) OVER w AS DOUBLE) / count(CASE WHEN event_type = 'click' THEN v END) OVER w AS letters,
   CAST(sum(CASE WHEN event_type <> 'click' THEN v END) OVER w AS DOUBLE) / count(CASE WHEN event_type <> 'click' THEN v END) OVER w AS romans
@@ -282,26 +269,11 @@ def pipe_tables(spark, d):
 
 
 @query("split_tables", f"""
-WITH {PIPES_SQL}, t AS (SELECT doc_id, pos, lower(trim(regexp_replace(cells[1], ' +', ' ', 'g'))) AS header, CAST(len(cells) AS INTEGER) % 3 AS n_cols, 2 AS n_rows FROM p),
-u AS (SELECT doc_id, pos, left(header, 1) AS header, n_cols, n_rows FROM t),
-b AS (SELECT *, coalesce(header <> '' AND lag(header) OVER w = header AND lag(n_cols) OVER w = n_cols AND lag(pos) OVER w = pos - 1, false) AS g FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-i AS (SELECT *, sum(CASE WHEN g THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM b)
-SELECT doc_id, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last, any_value(header) AS header, any_value(n_cols) AS n_cols, CAST(sum(n_rows - CASE WHEN g THEN 1 ELSE 0 END) AS BIGINT) AS n_rows, count(*) AS parts FROM i GROUP BY doc_id, k""")
-def split_tables(spark, d):
-    """Each line with bars as a table of two rows; those that share the first letter, and the column count modulo 3, with their neighbour go on.
-
-    A thinned rule that merges tables whose headers differ; split_tables_whole compares all of the header."""
-    header = F.substring(tb.header_key(F.array(F.get("cells", F.lit(0)))), 1, 1)
-    tables = pipe_rows(spark, d).select("doc_id", "pos", header.alias("header"), (F.size("cells") % 3).alias("n_cols"), F.lit(2).alias("n_rows"))
-    return tb.merge_split(tables, ["doc_id"], "pos", "header", "n_cols", "n_rows")
-
-
-@query("split_tables_whole", f"""
 WITH {PIPES_SQL}, t AS (SELECT doc_id, pos, lower(trim(regexp_replace(array_to_string(cells, ' | '), '\\s+', ' ', 'g'))) AS header, CAST(len(cells) AS INTEGER) AS n_cols FROM p),
 b AS (SELECT *, coalesce(header <> '' AND lag(header) OVER w = header AND lag(n_cols) OVER w = n_cols AND lag(pos) OVER w = pos - 1, false) AS g FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 i AS (SELECT *, sum(CASE WHEN g THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM b)
 SELECT doc_id, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last, any_value(header) AS header, any_value(n_cols) AS n_cols, CAST(count(*) + 1 AS BIGINT) AS n_rows, count(*) AS parts FROM i GROUP BY doc_id, k""")
-def split_tables_whole(spark, d):
+def split_tables(spark, d):
     """Each line with bars as a table of two rows; those that repeat their neighbour's whole header and column count go on."""
     tables = pipe_rows(spark, d).select("doc_id", "pos", tb.header_key(F.col("cells")).alias("header"), F.size("cells").alias("n_cols"), F.lit(2).alias("n_rows"))
     return tb.merge_split(tables, ["doc_id"], "pos", "header", "n_cols", "n_rows")
@@ -345,12 +317,15 @@ def bullets_from_top(spark, d):
 
 
 @query("text_segments", f"""
-WITH {BLOCKS_SQL}, g AS (SELECT *, kind IN ('table', 'image') OR coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) IN ('table', 'image'), true) AS st FROM b),
-k AS (SELECT *, sum(CAST(st AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS r FROM g),
-q AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, r ORDER BY pos) - 1) % 5 = 0 AS cut FROM k)
-SELECT doc_id, pos, CAST(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM q""")
+WITH RECURSIVE {BLOCKS_SQL}, g AS (SELECT doc_id, pos, kind IN ('table', 'image') AS alone, kind = 'bullet' AND level > 0 AS stays FROM b),
+w AS (SELECT doc_id, CAST(-1 AS BIGINT) AS pos, true AS alone, 0 AS n, CAST(0 AS BIGINT) AS segment FROM (SELECT DISTINCT doc_id FROM g)
+  UNION ALL SELECT g.doc_id, g.pos, g.alone, CASE WHEN g.alone OR w.alone OR (w.n >= 5 AND NOT g.stays) THEN 1 ELSE w.n + 1 END, w.segment + CASE WHEN g.alone OR w.alone OR (w.n >= 5 AND NOT g.stays) THEN 1 ELSE 0 END
+  FROM w JOIN g ON g.doc_id = w.doc_id AND g.pos = w.pos + 1)
+SELECT doc_id, pos, segment FROM w WHERE pos >= 0""")
 def text_segments(spark, d):
-    return bl.text_segments(event_blocks(spark, d), ["doc_id"], ["pos"], limit=5).select("doc_id", "pos", "segment")
+    """Bullets below the top level stand for rows inside a numbered list: no cut before them."""
+    whole = (F.col("kind") == "bullet") & (F.col("level") > 0)
+    return bl.text_segments(event_blocks(spark, d), ["doc_id"], "pos", whole=whole, limit=5).select("doc_id", "pos", "segment")
 
 
 @query("kept_edges", """

@@ -43,113 +43,6 @@ def colour_codes(spark, d):
     return parts.withColumn("dark", co.is_dark(F.col("code")))
 
 
-ADJUSTED = [("accent1", 0.2, 0.8, None, None, "#DAE3F3"), ("accent1", 0.75, None, None, None, "#2F5597"), ("bg1", 0.5, None, None, None, "#808080"), ("tx1", 0.5, 0.5, None, None, "#808080"),
-            ("accent2", None, None, 0.5, None, "#F6BE98"), ("accent6", None, None, None, 0.5, "#385624"), ("dk2", None, None, None, None, "#44546A"), ("accent4", 0.4, 0.6, None, None, "#FFE699")]
-
-
-@query("theme_colours", vectors(*[(r[0], r[5]) for r in ADJUSTED], names="scheme, code"))
-def theme_colours(spark, d):
-    rows = spark.createDataFrame([r[:5] for r in ADJUSTED], "scheme string, lum_mod double, lum_off double, tint double, shade double")
-    steps = [("lumMod", F.col("lum_mod")), ("lumOff", F.col("lum_off")), ("tint", F.col("tint")), ("shade", F.col("shade"))]
-    return rows.select("scheme", co.adjusted(co.theme_base(F.col("scheme")), steps).alias("code"))
-
-
-HIGHLIT = [("yellow", None, "#FFFF00"), ("none", "d9d9d9", "#D9D9D9"), (None, "auto", None), (None, "FFFFFF", None), (None, "abc123", "#ABC123"), ("mauve", "abc123", None), (None, None, None), ("darkGray", None, "#808080")]
-
-
-@query("highlights", vectors(*HIGHLIT, names="name, fill, code"))
-def highlights(spark, d):
-    rows = spark.createDataFrame([r[:2] for r in HIGHLIT], "name string, fill string")
-    return rows.select("name", "fill", co.highlight(F.col("name"), F.col("fill")).alias("code"))
-
-
-# Each: text, then letters of its styles (b i u p s), colour, highlight.
-def run(text: str, styles: str = "", color: str | None = None, hl: str | None = None) -> tuple:
-    return (text, *(x in styles for x in "biups"), color, hl)
-
-
-RUNS = {
-    "joined": [run("ab", "b"), run("", "i"), run("cd", "b")],
-    "blank_between": [run("one", "i"), run(" "), run("two", "i")],
-    "blank_first": [run("  "), run("x", "b")],
-    "underlined_blank": [run("a"), run(" ", "u"), run("b")],
-    "spaces": [run("  a \t"), run("  b ", "b"), run(" c  ")],
-    "all_blank": [run("  "), run("\t", "b")],
-    "all_bold": [run("Head", "b"), run(" "), run("line", "bi")],
-    "some_bold": [run("Head", "b"), run(" line")],
-    "nested": [run(" x ", "biup"), run("y", "s", "#FF0000", "#FFFF00")],
-    "marker": [run("(a", "b"), run(")  First"), run(" point", "i")],
-    "lines": [run("one\ntw"), run("o\r\r", "b"), run("  \nthree", "i")],
-    "none": [],
-}
-
-def run_rows(spark):
-    return spark.createDataFrame(list(RUNS.items()), f"name string, runs array<{RUN}>")
-
-
-@query("runs_rendered", vectors(
-    ("joined", "**abcd**"), ("blank_between", "*one two*"), ("blank_first", "  **x**"), ("underlined_blank", "a b"), ("spaces", "  a \t  **b ** c  "), ("all_blank", "  \t"),
-    ("all_bold", "**Head** ***line***"), ("some_bold", "**Head** line"), ("nested", " ***__^{x}__*** {hl #FFFF00|{#FF0000|_{y}}}"), ("marker", "**(a**)  First *point*"),
-    ("lines", "one\ntw**o\r\r**  *\nthree*"), ("none", ""), names="name, text"))
-def runs_rendered(spark, d):
-    return run_rows(spark).select("name", rn.rendered(rn.merged(F.col("runs"))).alias("text"))
-
-
-@query("runs_normalised", vectors(
-    ("joined", "**abcd**", 1), ("blank_between", "*one two*", 1), ("blank_first", "**x**", 1), ("underlined_blank", "a b", 3), ("spaces", "a **b** c", 3), ("all_blank", "", 0),
-    ("all_bold", "**Head** ***line***", 2), ("some_bold", "**Head** line", 2), ("nested", "***__^{x}__*** {hl #FFFF00|{#FF0000|_{y}}}", 2), ("marker", "**(a**) First *point*", 3),
-    ("lines", "one tw**o** *three*", 3), ("none", "", 0), names="name, text, n"))
-def runs_normalised(spark, d):
-    out = run_rows(spark).select("name", rn.normalised(F.col("runs")).alias("runs"))
-    return out.select("name", rn.rendered(F.col("runs")).alias("text"), F.size("runs").alias("n"))
-
-
-@query("runs_without_uniform_style", vectors(
-    ("joined", "abcd"), ("blank_between", "one two"), ("blank_first", "x"), ("underlined_blank", "a b"), ("all_bold", "Head *line*"), ("some_bold", "**Head** line"), names="name, text"))
-def runs_without_uniform_style(spark, d):
-    rows = run_rows(spark).where(F.col("name").isin("joined", "blank_between", "blank_first", "underlined_blank", "all_bold", "some_bold"))
-    return rows.select("name", rn.rendered(rn.without_uniform(rn.normalised(F.col("runs")), "bold", "italic")).alias("text"))
-
-
-@query("runs_without_marker", vectors(("marker", "First *point*", "(a)  First point"), ("some_bold", "**d** line", "Head line"), ("none", "", ""), names="name, rest, text"))
-def runs_without_marker(spark, d):
-    rows = run_rows(spark).where(F.col("name").isin("marker", "some_bold", "none"))
-    return rows.select("name", rn.rendered(rn.without_marker(F.col("runs"), F.lit(3))).alias("rest"), rn.text_of(F.col("runs")).alias("text"))
-
-
-@query("runs_split_lines", vectors(("lines", 0, "one"), ("lines", 1, "tw**o**"), ("lines", 2, "*three*"), names="name, line, text"))
-def runs_split_lines(spark, d):
-    rows = run_rows(spark).where("name = 'lines'")
-    return rows.select("name", F.posexplode(rn.split_lines(F.col("runs"))).alias("line", "r")).select("name", "line", rn.rendered(F.col("r")).alias("text"))
-
-
-@query("run_flags", vectors(("all_bold", True, 1.0, "bold,italic"), ("some_bold", False, 0.5, "bold"), ("none", False, 0.0, ""), ("nested", False, 0.5, "bold,italic,underline,baselineOffset,foregroundColor,backgroundColor"), names="name, all_bold, ratio, fields"))
-def run_flags(spark, d):
-    rows = run_rows(spark).where(F.col("name").isin("all_bold", "some_bold", "none", "nested"))
-    fields = F.array_join(F.array_distinct(F.flatten(F.transform("runs", lambda r: rn.style_fields(r)))), ",")
-    return rows.select("name", rn.all_bold(F.col("runs")).alias("all_bold"), rn.bold_ratio(F.col("runs")).cast("decimal(2,1)").alias("ratio"), fields.alias("fields"))
-
-
-SYMBOLS = [("Stocks", "Calibri", "Wingdings", "Stocks"), ("b", "Symbol", None, "β"), (" go", "Calibri", "Wingdings", "→ go"), ("", "Arial", None, "•"), ("a 1", "Symbol", None, "α 1"),
-           ("x", "Arial", None, "x"), ("l", "Wingdings", None, "●"), ("\U0001f389w", "Wingdings 2", None, "\U0001f389◆"), ("", "Symbol", None, "")]
-
-
-@query("symbol_texts", vectors(*SYMBOLS, names="text, font, symbol_font, shown"))
-def symbol_texts(spark, d):
-    rows = spark.createDataFrame([r[:3] for r in SYMBOLS], "text string, font string, symbol_font string")
-    return rows.select("text", "font", "symbol_font", sy.shown(F.col("text"), F.col("font"), F.col("symbol_font")).alias("shown"))
-
-
-LONG = "1aB_c-D2eF3gH4iJ5kL6mN7oP8"
-LINKS = [(f"https://host/document/d/{LONG}/edit?tab=t.x1#h", LONG, "t.x1"), (f"  {LONG} ", LONG, None), ("https://elsewhere.example/x", None, None), (f"https://host/document/d/{LONG}/edit", LONG, None), ("", None, None), ("short", None, None)]
-
-
-@query("document_links", vectors(*LINKS, names="link, doc_id, tab_id"))
-def document_links(spark, d):
-    rows = spark.createDataFrame([(r[0],) for r in LINKS], "link string")
-    return rows.select("link", ln.document_id(F.col("link")).alias("doc_id"), ln.tab_id(F.col("link")).alias("tab_id"))
-
-
 @query("page_links", """
 SELECT page_id, nullif(regexp_extract(url, '^https?://([^/]+)', 1), '') AS host, nullif(regexp_extract(url, '/document/d/([a-zA-Z0-9_-]{20,})', 1), '') AS doc_id, nullif(regexp_extract(url, '[?&#]tab=([a-zA-Z0-9._-]+)', 1), '') AS tab_id FROM pages""")
 def page_links(spark, d):
@@ -157,15 +50,6 @@ def page_links(spark, d):
     return c.read(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract(url, "^https?://([^/]+)", 1), F.lit("")).alias("host"), ln.document_id(url).alias("doc_id"), ln.tab_id(url).alias("tab_id"))
 
 
-STYLES = [("width:96pt;height:18pt", 96.0, 18.0), ("height:7.5pt", 120.0, 7.5), ("", 120.0, 30.0), ("width:1pt;width:2pt", 2.0, 30.0)]
-
-
-@query("box_sizes", vectors(*STYLES, names="style, width, height").replace("SELECT *", "SELECT style, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height"))
-def box_sizes(spark, d):
-    rows = spark.createDataFrame([(r[0],) for r in STYLES], "style string")
-    return rows.select("style", ln.box_size(F.col("style")).alias("b")).select("style", "b.width", "b.height")
-
-
 # The named styles that headings may map to, and the usual map.
 NAMED_STYLES = ("TITLE", "SUBTITLE", "HEADING_1", "HEADING_2", "HEADING_3", "HEADING_4", "HEADING_5", "HEADING_6", "NORMAL_TEXT")
 HEADING_MAP = {"title": "HEADING_1", "section": "HEADING_1", "decimal": "HEADING_2", "alpha": "HEADING_3", "roman": "HEADING_4"}
@@ -179,23 +63,6 @@ def settings(raw):
     return F.map_concat(F.map_filter(usual, lambda k, v: ~F.array_contains(F.map_keys(valid), k)), valid)
 
 
-@query("settings_maps", vectors(
-    (0, "alpha", "HEADING_3", 3), (0, "decimal", "HEADING_2", 2), (0, "other", "NORMAL_TEXT", 0), (1, "alpha", "HEADING_5", 5), (1, "decimal", "HEADING_2", 2), (1, "other", "NORMAL_TEXT", 0),
-    (2, "alpha", "HEADING_3", 3), (2, "decimal", "NORMAL_TEXT", 0), (2, "other", "NORMAL_TEXT", 0), names="id, style_key, named, rank"))
-def settings_maps(spark, d):
-    raw = spark.createDataFrame([(0, "not json"), (1, '{"heading_map": {"alpha": "HEADING_5", "decimal": "BANNER"}}'), (2, '{"heading_map": {"decimal": "NORMAL_TEXT", "other": "HEADING_1"}}')], "id int, raw string")
-    keyed = raw.select("id", settings(F.col("raw")).alias("m"), F.explode(F.array(F.lit("alpha"), F.lit("decimal"), F.lit("other"))).alias("style_key"))
-    named = F.coalesce(F.element_at("m", F.col("style_key")), F.lit("NORMAL_TEXT"))
-    return keyed.select("id", "style_key", named.alias("named"), F.coalesce(F.expr("try_cast(nullif(regexp_extract(coalesce(m[style_key], ''), 'HEADING_([1-6])', 1), '') AS int)"), F.lit(0)).alias("rank"))
-
-
-@query("rejected_files", vectors(("a.PDF", "pdf", None), ("b.docx", "docx", None), ("c.doc", None, "old format"), ("d.ppt", None, "old format"), ("e.txt", None, "unknown format"), ("f", None, "unknown format"), names="path, format, error"))
-def rejected_files(spark, d):
-    from lectern.sources.files import format_of
-
-    return format_of(spark.createDataFrame([("a.PDF",), ("b.docx",), ("c.doc",), ("d.ppt",), ("e.txt",), ("f",)], "path string"), "path")
-
-
 @query("html_blocks", f"WITH {c.HTML_SQL} SELECT doc_id, host, CAST(pos AS INTEGER) AS pos, tag, text FROM html_blocks")
 def html_blocks(spark, d):
     return c.html_blocks(spark, d)

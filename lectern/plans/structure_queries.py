@@ -15,7 +15,6 @@ from lectern.operators import slides as sl
 from lectern.operators.fold import fold_by_doc
 from lectern.plans import layout_queries as lq
 from lectern.plans.measure_queries import headings
-from lectern.plans.scalar_queries import run_rows, vectors
 from lectern.sources import corpus as c
 
 QUERIES, SQL = {}, {}
@@ -31,56 +30,6 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-# doc, page, x0, x1, y0, text, bold, bullet, text_x; size 11, page 600 wide, text from 72 to 520.
-LINES = [
-    (1, 1, 72, 120, 100, "1. X", 1.0, None, 72), (1, 1, 72, 130, 130, "(a) Y", 1.0, None, 72), (1, 1, 72, 510, 160, "first point goes", 0.0, "•", 90), (1, 1, 90, 300, 173, "on here", 0.0, None, 90),
-    (1, 1, 90, 300, 200, "below", 0.0, "•", 108),
-    (2, 1, 250, 350, 80, "A title", 1.0, None, 250), (2, 1, 72, 515, 120, "Text of insol-", 0.0, None, 72), (2, 1, 72, 515, 133, "vency that goes on", 0.0, None, 72), (2, 1, 72, 200, 146, "and ends.", 0.0, None, 72),
-    (2, 1, 72, 515, 159, "Another one that runs", 0.0, None, 72), (2, 2, 72, 300, 60, "over the page.", 0.0, None, 72), (2, 2, 72, 300, 73, "a. an item", 0.0, None, 72), (2, 2, 86, 300, 86, "wraps here", 0.0, None, 86),
-    (2, 2, 72, 300, 112, "-----", 0.0, None, 72), (2, 2, 72, 300, 125, "b. the next", 0.0, None, 72),
-    (3, 1, 72, 200, 60, "1. One", 1.0, None, 72), (3, 1, 72, 200, 90, "2. Two", 0.0, None, 72), (3, 1, 72, 200, 120, "3. Three", 1.0, None, 72), (3, 1, 72, 200, 150, "I. INTRODUCTION", 1.0, None, 72),
-    (3, 1, 72, 200, 163, "AND MORE", 1.0, None, 72), (3, 1, 72, 200, 200, "A. Sources", 1.0, None, 72),
-]
-
-
-def page_lines(spark):
-    rows = [(d, i, p, float(x0), float(x1), float(y), 11.0, txt, b, g, float(tx), False, False, 600.0) for i, (d, p, x0, x1, y, txt, b, g, tx) in enumerate(LINES)]
-    return spark.createDataFrame(rows, "doc_id int, line int, page int, x0 double, x1 double, y0 double, size double, text string, bold double, bullet string, text_x double, in_box boolean, blank boolean, page_width double")
-
-
-@query("document_blocks", vectors(
-    (1, 0, "heading", "1. X", "1.", "decimal", 0, True), (1, 1, "heading", "(a) Y", "(a)", "alpha", 0, True), (1, 2, "bullet", "first point goes on here", None, None, 0, True), (1, 3, "bullet", "below", None, None, 1, True),
-    (2, 0, "paragraph", "A title", None, None, 0, False), (2, 1, "paragraph", "Text of insolvency that goes on and ends.", None, None, 0, True), (2, 2, "paragraph", "Another one that runs over the page.", None, None, 0, True),
-    (2, 3, "paragraph", "a. an item wraps here", None, None, 0, True), (2, 4, "paragraph", "b. the next", None, None, 0, True),
-    (3, 0, "paragraph", "1. One", None, None, 0, True), (3, 1, "paragraph", "2. Two", None, None, 0, True), (3, 2, "paragraph", "3. Three", None, None, 0, True), (3, 3, "heading", "I. INTRODUCTION AND MORE", None, "decimal", 0, True), (3, 4, "heading", "A. Sources", None, "alpha", 0, True),
-    names="doc_id, pos, kind, text, label, style, level, selected"))
-def document_blocks(spark, d):
-    return pg.document_blocks(page_lines(spark)).drop("page")
-
-
-PROSE = "this quoted sentence is long enough to be prose and not a formula, so it joins"
-SLIDES = {  # kind, text, level, x
-    "B1": [("paragraph", "intro:", 0, 60), ("paragraph", PROSE, 0, 90), ("paragraph", "text", 0, 60)],
-    "B2": [("paragraph", "intro", 0, 60), ("paragraph", "(a) one;", 0, 60), ("paragraph", "(b) two,", 0, 60), ("paragraph", "lower-case tail", 0, 60)],
-    "B3": [("paragraph", "one", 0, 60), ("bullet", "own", 0, 60)],
-    "B4": [("paragraph", "T1:", 0, 60), ("paragraph", "(a) x", 0, 60), ("paragraph", "(b) y", 0, 60), ("paragraph", "T2:", 0, 60), ("paragraph", "A sentence", 0, 60)],
-    "B5": [("paragraph", "para", 0, 60), ("bullet", "own", 0, 60), ("paragraph", "para two", 0, 60), ("paragraph", "a. x", 0, 60), ("paragraph", "b. y", 0, 60), ("paragraph", "Last", 0, 60)],
-    "B6": [("paragraph", "Start", 0, 60), ("paragraph", "1. x", 0, 60), ("paragraph", "Point", 0, 60), ("paragraph", "(a) y", 0, 60)],
-}
-POINTS = [
-    ("B1", 0, "bullet", 0, f"intro: {PROSE}"), ("B1", 1, "bullet", 0, "text"), ("B2", 0, "paragraph", 0, "1. intro"), ("B2", 1, "paragraph", 0, "(a) one;"), ("B2", 2, "paragraph", 0, "(b) two, lower-case tail"),
-    ("B3", 0, "paragraph", 0, "one"), ("B3", 1, "bullet", 0, "own"), ("B4", 0, "paragraph", 0, "1. T1:"), ("B4", 1, "paragraph", 0, "(a) x"), ("B4", 2, "paragraph", 0, "(b) y"), ("B4", 3, "paragraph", 0, "2. T2: A sentence"),
-    ("B5", 0, "bullet", 0, "para"), ("B5", 1, "bullet", 1, "own"), ("B5", 2, "bullet", 0, "para two"), ("B5", 3, "paragraph", 1, "a. x"), ("B5", 4, "paragraph", 1, "b. y"), ("B5", 5, "bullet", 0, "Last"),
-    ("B6", 0, "paragraph", 0, "Start"), ("B6", 1, "paragraph", 0, "1. x"), ("B6", 2, "paragraph", 0, "1. Point"), ("B6", 3, "paragraph", 0, "(a) y"),
-]
-
-
-@query("slide_points", vectors(*POINTS, names="slide, pos, kind, level, text"))
-def slide_points(spark, d):
-    rows = spark.createDataFrame([(n, i, k, x, lv, float(at), False, False) for n, r in SLIDES.items() for i, (k, x, lv, at) in enumerate(r)], "slide string, pos int, kind string, text string, level int, x double, bold boolean, starts_bold boolean")
-    return pg.slide_points(rows, ["slide"], "pos", F.col("slide") == "B5")
-
-
 @query("tick_states", """
 WITH RECURSIVE h AS (SELECT o_custkey AS doc_id, o_orderkey % 3 <> 0 AS ticked, CAST(o_orderpriority[1] AS INTEGER) AS level, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders),
 p AS (SELECT a.doc_id, a.pos, a.ticked, max(b.pos) AS parent FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.pos < a.pos AND b.level < a.level GROUP BY ALL),
@@ -93,13 +42,6 @@ def tick_states(spark, d):
     return fold_by_doc(s.parents(rows, ["doc_id"], ["pos"], "level", "pos").fillna(-1, ["parent"]), ["doc_id"], ["pos"], pg.ticks, "doc_id bigint, pos bigint, state string")
 
 
-@query("process_banners", vectors((0,), (1,), (2,), names="box"))
-def process_banners(spark, d):
-    boxes = [(1, 0, 0.0, 100.0, 20.0, 60.0, 0.0, 0.1), (1, 1, 105.0, 200.0, 22.0, 61.0, 0.95, 1.0), (1, 2, 190.0, 300.0, 20.0, 60.0, 0.9, 1.0), (1, 3, 310.0, 400.0, 20.0, 60.0, 0.1, 1.0), (1, 4, 0.0, 100.0, 100.0, 140.0, 1.0, 1.0)]
-    rows = spark.createDataFrame(boxes, "doc_id int, box int, x0 double, x1 double, y0 double, y1 double, fill double, opacity double")
-    return fold_by_doc(rows, ["doc_id"], ["box"], pg.banner_boxes, "box int")
-
-
 @query("subtitle_repeats", """
 WITH t AS (SELECT conv_id AS doc_id, turn AS page, role, split_part(text, ' ', 1) AS subtitle FROM conversations),
 l AS (SELECT *, lag(role) OVER w AS pr, lag(subtitle) OVER w AS ps FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page))
@@ -174,25 +116,6 @@ def slide_pitches(spark, d):
     return g.groupBy("user_id", F.bround("ps", 0).cast("int").alias("size")).agg(F.min("dy").alias("pitch"))
 
 
-@query("derived_texts", vectors(("cell", "abcd / one two"), ("row", "abcd | one two"), names="what, text"))
-def derived_texts(spark, d):
-    """A cell joins its blocks by strokes, a row its cells by bars."""
-    rows = run_rows(spark).where(F.col("name").isin("joined", "blank_between")).select("name", rn.text_of(F.col("runs")).alias("text"))
-    parts = rows.agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("name") == "joined", 0).otherwise(1).alias("o"), "text"))).alias("p")).select(F.transform("p", lambda x: x["text"]).alias("p"))
-    return parts.select(F.explode(F.array(F.struct(F.lit("cell").alias("what"), F.array_join("p", " / ").alias("text")), F.struct(F.lit("row").alias("what"), F.array_join("p", " | ").alias("text")))).alias("x")).select("x.*")
-
-
-SEPARATORS = [(1, True, False, False, 10, 12, None, 0), (2, False, True, False, 10, 12, 12, 2), (3, False, False, True, 10, 12, 10, 1), (4, False, False, False, 10, 12, 10, 2)]
-
-
-@query("separators", vectors(*[(r[0], r[6], r[7]) for r in SEPARATORS], names="doc_id, place, line_feeds"))
-def separators(spark, d):
-    """What stands between old and new text: nothing in an empty document; before the anchor after a table; a blank line is used again."""
-    rows = spark.createDataFrame([r[:6] for r in SEPARATORS], "doc_id int, empty boolean, after_table boolean, blank boolean, line_end int, anchor int")
-    at = F.when(F.col("empty"), None).when(F.col("after_table"), F.col("anchor")).otherwise(F.col("line_end"))
-    return rows.select("doc_id", at.alias("place"), F.when(F.col("empty"), 0).when(~F.col("after_table") & F.col("blank"), 1).otherwise(2).alias("line_feeds"))
-
-
 DECK_SQL = """
 k AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS line, o_clerk_size AS size, y0, bullet, text, 540.0::DOUBLE AS height FROM (
   SELECT *, CAST(20 + o_orderkey % 5 * 5 AS DOUBLE) AS o_clerk_size, CAST(o_orderkey % 30 * 18 AS DOUBLE) AS y0, CASE WHEN o_orderkey % 6 = 0 THEN '•' END AS bullet, o_orderpriority AS text FROM orders))"""
@@ -222,69 +145,6 @@ def slide_titles(spark, d):
     return sl.slide_titles(deck_lines(spark, d), ["doc_id"]).select("doc_id", "line", "title")
 
 
-@query("span_lines", vectors((1, "a bc d", None), (2, "• x", "•"), (3, "- y", "-"), (4, "-z", None), names="line, text, bullet"))
-def span_lines(spark, d):
-    spans = spark.createDataFrame([(1, "a", 0.0, 5.0), (1, "b", 8.0, 12.0), (1, "c ", 12.5, 20.0), (1, "d", 30.0, 33.0), (2, "•", 0.0, 4.0), (2, "x", 9.0, 12.0), (3, "- y", 0.0, 9.0), (4, "-z", 0.0, 9.0)], "line int, text string, x0 double, x1 double")
-    lines = spans.groupBy("line").agg(F.collect_list(F.struct("x0", "x1", "text")).alias("spans"))
-    return lines.select("line", sl.line_text(F.col("spans"), F.lit(11.0)).alias("text")).withColumn("bullet", sl.leading_bullet(F.col("text")))
-
-
-@query("column_gaps", vectors((1, 52.0, 60.0, 3), names="doc_id, x0, x1, support").replace("SELECT *", "SELECT doc_id, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, support"))
-def column_gaps(spark, d):
-    rows = spark.createDataFrame([(1, 0, 50.0, 60.0), (1, 1, 52.0, 66.0), (1, 2, 45.0, 61.0), (1, 0, 100.0, 110.0), (1, 1, 100.0, 104.0)], "doc_id int, row int, x0 double, x1 double")
-    return fold_by_doc(rows, ["doc_id"], ["row"], sl.column_gaps, "doc_id int, x0 double, x1 double, support int")
-
-
-@query("diagram_texts", vectors((1, "A B C"), names='doc_id, text'))
-def diagram_texts(spark, d):
-    shapes = [(1, 0, "text", "B", 60.0, 3.0, 100.0, 20.0), (1, 1, "text", "A", 0.0, 0.0, 40.0, 20.0), (1, 2, "connector", "", 40.0, 10.0, 60.0, 11.0), (1, 3, "text", "C", 0.0, 21.0, 40.0, 40.0), (1, 4, "text", "far", 300.0, 0.0, 340.0, 20.0)]
-    rows = spark.createDataFrame(shapes, "doc_id int, pos int, kind string, text string, x0 double, y0 double, x1 double, y1 double")
-    grouped = fold_by_doc(rows, ["doc_id"], ["pos"], ly.touching, "doc_id int, pos int, kind string, text string, x0 double, y0 double, x1 double, y1 double, group int")
-    return sl.diagrams(grouped, ["doc_id"]).select("doc_id", "text")
-
-
-NUMBERS = [(0, "arabicPeriod", None, "1."), (1, "alphaLcParenR", None, "a)"), (1, "alphaLcParenR", None, "b)"), (0, "arabicPeriod", None, "2."), (1, "alphaLcParenR", None, "a)"), (0, None, None, None), (0, "arabicPeriod", 5, "5."), (0, "romanUcParenBoth", None, "(I)"), (0, "romanUcParenBoth", None, "(II)")]
-
-
-@query("shape_numbers", vectors(*[(i, r[3]) for i, r in enumerate(NUMBERS)], names="pos, label"))
-def shape_numbers(spark, d):
-    rows = spark.createDataFrame([(1, i, *r[:3]) for i, r in enumerate(NUMBERS)], "doc_id int, pos int, level int, scheme string, start int")
-    return fold_by_doc(rows, ["doc_id"], ["pos"], sl.shape_numbers, "pos int, label string")
-
-
-TABLES = [  # pos, page, header, n_cols, n_rows, titled, widths
-    (0, 1, "h", 2, 2, False, [1.0, 1.0]), (1, 1, "h", 2, 3, False, [1.0, 1.0]), (2, 2, "g", 2, 2, False, [1.1, 1.0]), (4, 2, "g", 2, 2, False, None), (5, 3, "x", 2, 1, False, [1.0, 3.0]), (6, 5, "y", 2, 1, False, [1.0, 3.0]), (7, 5, "t", 2, 4, True, None),
-]
-
-
-@query("split_deck_tables", vectors(("document", 0, 4, 2), ("document", 2, 2, 1), ("document", 4, 2, 1), ("document", 5, 1, 1), ("document", 6, 1, 1), ("document", 7, 4, 1),
-                                    ("slides", 0, 6, 3), ("slides", 4, 3, 2), ("slides", 6, 1, 1), ("slides", 7, 4, 1), names="layout, pos, n_rows, parts"))
-def split_deck_tables(spark, d):
-    rows = spark.createDataFrame([(lay, *r) for lay in ("document", "slides") for r in TABLES], "layout string, pos int, page int, header string, n_cols int, n_rows int, titled boolean, widths array<double>")
-    return fold_by_doc(rows, ["layout"], ["pos"], lambda r: dr.merged_tables(r, r[0]["layout"] == "slides"), "layout string, pos int, n_rows int, parts int")
-
-
-@query("cell_blocks", vectors((0, "paragraph", 0, "One line and its wrap"), (1, "bullet", 0, "point"), (2, "paragraph", 0, "Far below"), names="pos, kind, level, text"))
-def cell_blocks(spark, d):
-    lines = [(0, 10.0, "One line", None), (1, 23.0, "and its wrap", None), (2, 40.0, "point", "•"), (3, 90.0, "Far below", None)]
-    rows = spark.createDataFrame([(1, i, 1, 72.0, 200.0, y, 11.0, x, 0.0, b, 72.0, False, False, 600.0) for i, y, x, b in lines], "doc_id int, line int, page int, x0 double, x1 double, y0 double, size double, text string, bold double, bullet string, text_x double, in_box boolean, blank boolean, page_width double")
-    return pg.flow_blocks(rows).drop("doc_id")
-
-
-@query("box_tables", vectors((0, 0, 0, 0), (1, 0, 0, 1), (2, 0, 1, 0), (3, 0, 1, 1), names='box, "table", row, col'))
-def box_tables(spark, d):
-    boxes = [(0, 0.0, 0.0, 50.0, 20.0), (1, 51.0, 0.0, 100.0, 20.0), (2, 0.0, 21.0, 50.0, 40.0), (3, 51.0, 21.0, 100.0, 40.0), (4, 0.0, 100.0, 50.0, 120.0), (5, 51.0, 100.0, 100.0, 120.0), (6, 300.0, 0.0, 310.0, 90.0)]
-    rows = spark.createDataFrame([(1, *b) for b in boxes], "doc_id int, box int, x0 double, y0 double, x1 double, y1 double")
-    return fold_by_doc(rows, ["doc_id"], ["box"], dr.box_tables, "box int, table int, row int, col int")
-
-
-@query("ruled_bands", vectors((1, None), (3, 0), (4, 0), (7, 1), (9, None), names="item, band"))
-def ruled_bands(spark, d):
-    items = [(1, "line", 0.0, 90.0), (2, "rule", 0.0, 400.0), (3, "line", 0.0, 90.0), (4, "line", 0.0, 90.0), (5, "rule", 0.0, 50.0), (6, "rule", 10.0, 400.0), (7, "line", 0.0, 90.0), (8, "rule", 0.0, 400.0), (9, "line", 0.0, 90.0)]
-    rows = spark.createDataFrame([(1, i, k, a, b, float(i * 10), 600.0) for i, k, a, b in items], "doc_id int, item int, kind string, x0 double, x1 double, y0 double, page_width double")
-    return fold_by_doc(rows, ["doc_id"], ["item"], dr.ruled_rows, "item int, band int")
-
-
 @query("underlined_spans", f"""
 WITH {lq.BOXES_SQL} SELECT DISTINCT s.box FROM b s JOIN b r ON s.doc_id = r.doc_id AND s.box <> r.box AND r.y0 - s.y1 >= -0.1::DOUBLE * 12 AND r.y0 - s.y1 <= 0.4::DOUBLE * 12 AND least(s.x1, r.x1) - greatest(s.x0, r.x0) > 0.5::DOUBLE * (s.x1 - s.x0)""")
 def underlined_spans(spark, d):

@@ -1,9 +1,3 @@
-"""Fixed schemas: styled runs, blocks, and what layout and target documents are made of."""
+"""The schema of styled runs."""
 
 RUN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,superscript:boolean,subscript:boolean,color:string,highlight:string>"
-BLOCK = (
-    f"doc_id bigint, pos bigint, layout string, kind string, runs array<{RUN}>, text string, level int, style_key string, label string, "
-    "page int, selected boolean, note string, spacer boolean, numbered string, list_start boolean, in_list boolean, hanging boolean, main_point boolean"
-)
-KINDS = ("heading", "bullet", "paragraph", "table", "image")
-RECENT = "doc_id string, title string, url string, last_used double"

@@ -232,7 +232,7 @@ def _reader(parse, schema: str):
             for path, data in zip(frame["path"], frame["content"], strict=True):
                 try:
                     rows = list(parse(bytes(data)))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError) as e:
+                except Exception as e:  # whatever a file holds, it is one row: packages may be cut, locked, or lack any part
                     rows = [{"error": f"{type(e).__name__}: {e}"}]
                 out = pd.DataFrame([{"pos": i, "selected": True, "spacer": False, "level": 0} | r | {"path": path} for i, r in enumerate(rows)], columns=names)
                 yield out.astype(object).where(out.notna(), None)

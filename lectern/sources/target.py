@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ELEMENT = "startIndex:bigint,endIndex:bigint,paragraph:struct<elements:array<struct<textRun:struct<content:string>>>,paragraphStyle:struct<namedStyleType:string>,bullet:struct<listId:string,nestingLevel:int>>,table:struct<rows:int,columns:int>,sectionBreak:struct<sectionStyle:string>"
-TAB = "tabProperties struct<tabId:string,title:string>, documentTab string, childTabs string"
-
-
-def tabs(spark: SparkSession, docs: DataFrame, raw: str = "raw") -> DataFrame:
-    """doc_id, path, depth, tab_id, title, tab: every tab, depth first (path orders them)."""
-    top = docs.select("doc_id", F.posexplode(F.from_json(F.get_json_object(raw, "$.tabs"), "array<string>")).alias("n", "json"))
-    top.createOrReplaceTempView("_top_tabs")
-    found = spark.sql(
-        f"""WITH RECURSIVE t AS (
-          SELECT doc_id, array(n) AS path, json FROM _top_tabs
-          UNION ALL
-          SELECT doc_id, concat(path, array(c.pos)) AS path, c.col AS json FROM t LATERAL VIEW posexplode(from_json(from_json(json, '{TAB}').childTabs, 'array<string>')) c)
-        SELECT doc_id, path, size(path) AS depth, from_json(json, '{TAB}') AS tab FROM t"""
-    )
-    return found.select("doc_id", "path", "depth", F.col("tab.tabProperties.tabId").alias("tab_id"), F.col("tab.tabProperties.title").alias("title"), F.col("tab.documentTab").alias("body"))
+TAB = "tabProperties struct<tabId:string,title:string>, documentTab string"
+
+
+def tabs(docs: DataFrame, raw: str = "raw") -> DataFrame:
+    """doc_id, path, depth, tab_id, title, body: every tab, depth first (path orders them). One pass for each depth that there is."""
+    now = docs.select("doc_id", F.posexplode(F.from_json(F.get_json_object(raw, "$.tabs"), "array<string>")).alias("n", "json")).select("doc_id", F.array("n").alias("path"), "json")
+    found = now
+    while True:
+        below = now.select("doc_id", "path", F.posexplode(F.from_json(F.get_json_object("json", "$.childTabs"), "array<string>")).alias("n", "json"))
+        now = below.select("doc_id", F.concat("path", F.array("n")).alias("path"), "json")
+        if now.isEmpty():
+            break
+        found = found.unionByName(now)
+    tab = found.withColumn("tab", F.from_json("json", TAB))
+    return tab.select("doc_id", "path", F.size("path").alias("depth"), F.col("tab.tabProperties.tabId").alias("tab_id"), F.col("tab.tabProperties.title").alias("title"), F.col("tab.documentTab").alias("body"))
 
 
 def body(df: DataFrame, raw: str = "raw") -> DataFrame:

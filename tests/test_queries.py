@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import vectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,6 +45,17 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows == sorted(repr([plain(r[i]) for i in at]) for r in result.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(vectors.VECTORS))
+def test_vectors(spark, duck, name):
+    df = vectors.VECTORS[name](spark, SF)
+    names = sorted(df.columns)
+    result = duck.execute(vectors.SQL[name])
+    columns = [x[0] for x in result.description]
+    assert sorted(columns) == names
+    at = [columns.index(c) for c in names]
+    assert sorted(repr([plain(r[c]) for c in names]) for r in df.collect()) == sorted(repr([plain(r[i]) for i in at]) for r in result.fetchall())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns and df.count() > 0
@@ -63,19 +75,17 @@ def test_no_shuffle_of_documents_where_a_window_shares_its_partitioning(spark):
 def test_every_order_reaches_the_list_converter(spark):
     from lectern.sources import corpus
 
-    rows = own()["all_order_lists"](spark, SF).collect()
+    rows = own()["order_lists"](spark, SF).collect()
     numbers = {(r.doc_id, r.pos): r.number for r in corpus.order_items(spark, SF).collect()}
     assert {(r.doc_id, r.pos) for r in rows} == set(numbers) and len(rows) == len(numbers)
-    up = {r.doc_id for r in own()["order_lists"](spark, SF).select("doc_id").distinct().collect()}
-    others = [r for r in rows if r.doc_id not in up]
-    assert {r.kind for r in others} == {"bullet", "paragraph"} and all(r.label == f"{numbers[r.doc_id, r.pos]}." for r in rows if r.kind == "bullet")
+    assert {r.kind for r in rows} == {"bullet", "paragraph"} and all(r.label == f"{numbers[r.doc_id, r.pos]}." for r in rows if r.kind == "bullet")
 
 
 def test_tables_go_on_only_where_the_whole_header_repeats(spark, tmp_path):
     """The letter of the first cell and the column count modulo 3 agree in all of these lines with bars."""
     text = "Act | Section\n act  |  SECTION \nAct | Section\nAct | Part\nAct | b | c | d | e\nAct | b | c | d | e\nplain\nAct | b | c | d | e"
     spark.createDataFrame([(1, "s", "en", text)], "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = own()["split_tables_whole"](spark, str(tmp_path)).orderBy("first").collect()
+    rows = own()["split_tables"](spark, str(tmp_path)).orderBy("first").collect()
     assert [(r.first, r.last, r.header, r.n_cols, r.n_rows, r.parts) for r in rows] == [
         (0, 2, "act | section", 2, 4, 3), (3, 3, "act | part", 2, 2, 1), (4, 5, "act | b | c | d | e", 5, 3, 2), (7, 7, "act | b | c | d | e", 5, 2, 1),
     ]
