@@ -4,45 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.binding import let
+from lectern.operators.fold import in_order, scan
+from lectern.operators.sequences import islands
 
-def merged_tables(rows: list[dict], slides: bool = False) -> list[dict]:
-    """Tables in order (pos, page, header, n_cols, n_rows, titled: the first row is one cell; widths or None) -> merged ones.
 
-    A neighbour with the same header goes on without that row. In decks one with as many columns, none titled, on the same page
-    or the next, with alike widths, goes on whole; the page that counts is the last part's. A fold."""
-    def shares(r: dict) -> list[float]:
-        return [w / sum(r["widths"]) for w in r["widths"]]
+def merged_tables(tables: DataFrame, by: Sequence[str], slides: Column, alike: float = 0.15) -> DataFrame:
+    """Tables (pos, page, header, n_cols, n_rows, titled: the first row is one cell; widths or null) that go on from the neighbour before as one.
 
-    def alike(a: dict, b: dict) -> bool:
-        if a["widths"] is None or b["widths"] is None or not len(a["widths"]) or not len(b["widths"]):
-            return True
-        return all(abs(x - y) <= 0.15 for x, y in zip(shares(a), shares(b), strict=False))
+    A table goes on without its first row if that repeats the header, and whole if on slides it has the same columns and no title
+    row, on the same page or the next; the page that counts is the last part's. first, last, n_rows, parts."""
+    kept = "header:string,n_cols:int,titled:boolean,widths:array<double>,page:int,pos:int"
 
-    out: list[dict] = []
-    for r in rows:
-        now = out[-1] if out and out[-1]["end"] == r["pos"] - 1 else None
-        same = now is not None and r["header"] and r["header"] == now["header"] and r["n_cols"] == now["n_cols"]
-        on = now is not None and slides and now["n_cols"] == r["n_cols"] >= 2 and not now["titled"] and not r["titled"] and 0 <= r["page"] - now["last_page"] <= 1 and alike(now, r)
-        if same or on:
-            now.update(n_rows=now["n_rows"] + r["n_rows"] - bool(same), end=r["pos"], last_page=r["page"], parts=now["parts"] + 1)
-        else:
-            out.append(dict(r, end=r["pos"], last_page=r["page"], parts=1))
-    return out
+    def shares(widths: Column) -> Column:
+        return F.transform(widths, lambda w: w / F.aggregate(widths, F.lit(0.0), lambda a, x: a + x))
+
+    def step(first: Column, t: Column) -> Column:
+        known = (F.coalesce(F.size(first["widths"]), F.lit(0)) > 0) & (F.coalesce(F.size(t["widths"]), F.lit(0)) > 0)
+        columns = ~known | F.forall(F.zip_with(shares(first["widths"]), shares(t["widths"]), lambda a, b: F.coalesce(F.abs(a - b) <= alike, F.lit(True))), lambda x: x)
+        neighbour = (first["pos"] == t["pos"] - 1) & (first["n_cols"] == t["n_cols"])
+        repeats = neighbour & (t["header"] != "") & (t["header"] == first["header"])
+        carries = neighbour & t["slides"] & (t["n_cols"] >= 2) & ~first["titled"] & ~t["titled"] & (t["page"] - first["page"]).between(0, 1) & columns
+
+        def told(how: Column) -> Column:
+            on = how != "new"
+            names = [x.split(":")[0] for x in kept.replace("array<double>", "array").split(",")]
+            after = F.struct(*[(F.when(on & F.lit(n not in ("page", "pos")), first[n]).otherwise(t[n])).alias(n) for n in names])
+            return F.struct(after.alias("state"), how.alias("out"))
+
+        return let(F.when(F.coalesce(repeats, F.lit(False)), "repeats").when(F.coalesce(carries, F.lit(False)), "carries").otherwise("new"), told)
+
+    rows = in_order(tables.withColumn("slides", slides), by, "pos")
+    told = scan(F.col("rows"), F.from_json(F.lit("{}"), f"struct<{kept}>"), "string", step)
+    parts = rows.select(*by, F.explode(F.zip_with("rows", told, lambda r, o: r.withField("how", o))).alias("r")).select(*by, "r.*")
+    parts = islands(parts, by, ["pos"], F.col("how") == "new", "table")
+    return parts.groupBy(*by, "table").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum(F.col("n_rows") - (F.col("how") == "repeats").cast("int")).cast("int").alias("n_rows"), F.count("*").cast("int").alias("parts"))
 
 
 def box_tables(boxes: list[dict], tolerance: float = 3.0) -> list[dict]:
     """One page's boxes as tables: boxes of one height side by side are a row, rows with the same edges below each other a table of
     two rows and two columns or more. Adds table, row and col to the boxes of tables. A fold."""
+    bands: list[list[dict]] = []
+    for b in sorted(boxes, key=lambda b: (b["y0"], b["x0"])):  # boxes of one row may differ in height by the tolerance
+        band = next((r for r in bands if abs(r[0]["y0"] - b["y0"]) <= tolerance and abs(r[0]["y1"] - b["y1"]) <= tolerance), None)
+        bands.append([b]) if band is None else band.append(b)
     rows: list[list[dict]] = []
-    for b in sorted(boxes, key=lambda b: (b["y0"], b["x0"])):
-        row = next((r for r in rows if abs(r[0]["y0"] - b["y0"]) <= tolerance and abs(r[0]["y1"] - b["y1"]) <= tolerance and 0 <= b["x0"] - r[-1]["x1"] + tolerance <= 4 * tolerance), None)
-        if row is None:
-            rows.append([b])
-        else:
-            row.append(b)
+    for band in bands:
+        ahead: dict | None = None
+        for b in sorted(band, key=lambda b: b["x0"]):
+            beside = ahead is not None and 0 <= b["x0"] - ahead["x1"] + tolerance <= 4 * tolerance
+            rows[-1].append(b) if beside else rows.append([b])
+            ahead = b
     tables: list[list[list[dict]]] = []
     for row in (r for r in rows if len(r) > 1):
         fits = next((t for t in tables if len(t[-1]) == len(row) and 0 <= row[0]["y0"] - t[-1][0]["y1"] + tolerance <= 4 * tolerance and all(abs(a["x0"] - b["x0"]) <= tolerance for a, b in zip(t[-1], row, strict=True))), None)

@@ -534,7 +534,7 @@ TABLES = [  # pos, page, header, n_cols, n_rows, titled, widths
                                     ("slides", 0, 6, 3), ("slides", 4, 3, 2), ("slides", 6, 1, 1), ("slides", 7, 4, 1), names="layout, pos, n_rows, parts"))
 def split_deck_tables(spark, d):
     rows = spark.createDataFrame([(lay, *r) for lay in ("document", "slides") for r in TABLES], "layout string, pos int, page int, header string, n_cols int, n_rows int, titled boolean, widths array<double>")
-    return fold_by_doc(rows, ["layout"], ["pos"], lambda r: dr.merged_tables(r, r[0]["layout"] == "slides"), "layout string, pos int, n_rows int, parts int")
+    return dr.merged_tables(rows, ["layout"], F.col("layout") == "slides").select("layout", F.col("first").alias("pos"), "n_rows", "parts")
 
 
 @query("cell_blocks", vectors((0, "paragraph", 0, "One line and its wrap"), (1, "bullet", 0, "point"), (2, "paragraph", 0, "Far below"), names="pos, kind, level, text"))
