@@ -5,11 +5,13 @@ Python and is for rules that look back and forth at will."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lectern.functions.binding import let
 
@@ -31,11 +33,30 @@ def in_order(df: DataFrame, by: Sequence[str], order: str, name: str = "rows") -
 
 
 def fold_by_doc(df: DataFrame, by: Sequence[str], order: Sequence[str], fn: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """fn gets a document's rows in order and gives the rows that take their place. A document is the unit of memory."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(list(order), kind="stable").astype(object).where(pdf.notna(), None).to_dict("records")
-        return pd.DataFrame(fn(rows), columns=names)
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    """fn gets a document's rows in order and gives the rows that take their place. A document is the unit of memory; documents stream
+    through Arrow batches one after another, so small ones cost little."""
+    kind = StructType.fromDDL(schema)
+    names, target = kind.names, to_arrow_schema(kind)
+
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, target.types, strict=True)], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        done: list[dict] = []
+        now: tuple | None = None
+        for rows in batches:
+            for r in rows.to_pylist():
+                if (key := tuple(r[c] for c in by)) != now:
+                    if held:
+                        done += fn(held)
+                    held, now = [], key
+                    if len(done) > 8192:
+                        yield batch(done)
+                        done = []
+                held.append(r)
+        if held:
+            done += fn(held)
+        yield batch(done)
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)

@@ -461,7 +461,7 @@ WITH RECURSIVE {ITEM_SQL}, w AS (SELECT doc_id, pos, CAST(k % 3 AS INTEGER) AS l
 r AS (SELECT doc_id, CAST(-1 AS INTEGER) AS pos, 0 AS level, CAST(NULL AS INTEGER) AS a, CAST(NULL AS INTEGER) AS b, CAST(NULL AS INTEGER) AS c FROM (SELECT DISTINCT doc_id FROM it)
   UNION ALL SELECT w.doc_id, w.pos, w.level, CASE WHEN w.level = 0 THEN coalesce(r.a, 0) + 1 ELSE r.a END, CASE WHEN w.level = 0 THEN NULL WHEN w.level = 1 THEN CASE WHEN w.anew THEN 5 ELSE coalesce(r.b, 1) + 1 END ELSE r.b END,
     CASE WHEN w.level = 2 THEN coalesce(r.c, 2) + 1 END FROM r JOIN w ON w.doc_id = r.doc_id AND w.pos = r.pos + 1)
-SELECT doc_id, pos, CASE level WHEN 0 THEN a || '.' WHEN 1 THEN coalesce(a, 1) || '.' || chr(96 + b) || ')' ELSE '(' || coalesce(a, 1) || '-' || chr(96 + coalesce(b, 2)) || '-' || ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'][c] || ')' END AS label FROM r WHERE pos >= 0""")
+SELECT doc_id, pos, CASE level WHEN 0 THEN a || '.' WHEN 1 THEN coalesce(a, 1) || '.' || chr(96 + b) || ')' ELSE '(' || coalesce(a, 1) || '-' || chr(96 + coalesce(b, 2)) || '-' || (['', 'X', 'XX', 'XXX', 'XL'][c // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][c % 10 + 1]) || ')' END AS label FROM r WHERE pos >= 0""")
 def word_labels(spark, d):
     """Two lists of numbers that share their levels; the second starts its letters at e."""
     text = [F.array(*[F.lit(x) for x in xs]) for xs in (("decimal", "lowerLetter", "upperRoman"), ("%1.", "%1.%2)", "(%1-%2-%3)"), (1, 2, 3))]
@@ -484,7 +484,7 @@ def joined_paragraphs(spark, d):
 WITH {ITEM_SQL}, r AS (SELECT doc_id, pos, CAST(k % 3 AS INTEGER) AS level, ['arabicPeriod', 'alphaLcParenR', 'romanUcParenBoth', NULL, 'arabicPeriod'][s % 5 + 1] AS scheme, CASE WHEN k % 5 = 0 THEN 4 END AS start FROM it),
 b AS (SELECT a.*, (SELECT coalesce(max(z.pos), -1) FROM r z WHERE z.doc_id = a.doc_id AND z.pos <= a.pos AND (z.level < a.level OR z.level = a.level AND z.scheme IS DISTINCT FROM a.scheme)) AS since FROM r a),
 n AS (SELECT b.*, (SELECT CAST(count(*) - 1 + coalesce(arg_min(coalesce(z.start, 1), z.pos), 1) AS INTEGER) FROM r z WHERE z.doc_id = b.doc_id AND z.level = b.level AND z.pos > b.since AND z.pos <= b.pos) AS n FROM b)
-SELECT doc_id, pos, CASE scheme WHEN 'arabicPeriod' THEN n || '.' WHEN 'alphaLcParenR' THEN chr(97 + (n - 1) % 26) || ')' WHEN 'romanUcParenBoth' THEN '(' || ['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII'][n] || ')' END AS label FROM n""")
+SELECT doc_id, pos, CASE scheme WHEN 'arabicPeriod' THEN n || '.' WHEN 'alphaLcParenR' THEN chr(97 + (n - 1) % 26) || ')' WHEN 'romanUcParenBoth' THEN '(' || ['', 'X', 'XX', 'XXX', 'XL'][n // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][n % 10 + 1] || ')' END AS label FROM n""")
 def shape_numbers(spark, d):
     scheme = F.get(F.array(F.lit("arabicPeriod"), F.lit("alphaLcParenR"), F.lit("romanUcParenBoth"), F.lit(None), F.lit("arabicPeriod")), (F.col("s") % 5).cast("int"))
     rows = items(spark, d).select("doc_id", "pos", (F.col("k") % 3).cast("int").alias("level"), scheme.alias("scheme"), F.when(F.col("k") % 5 == 0, 4).alias("start"))
