@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.common import slices, table
 
 BLANK = "▁"
-#: Characters of the chunks remembered in one of two generations, and of the longest such chunk.
+#: Characters of the chunks remembered in one of two generations (some 30 bytes of memory each), and of the longest such chunk.
 REMEMBERED, KEPT = 800_000, 256
 #: Up to so many characters an agenda is a list, beyond a heap.
 SHORT = 48
@@ -107,8 +107,8 @@ class Vocabulary:
 class Encoder:
     """Encodes texts; remembers the chunks of late, in two generations of bounded size."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.vocabulary, self.remembered = Vocabulary(path), remembered
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.held = 0
@@ -132,7 +132,7 @@ class Encoder:
         out = [list(chain.from_iterable(map(get, x))) for x in cut]
         for c in long:
             del self.young[c]
-        if self.held > REMEMBERED:
+        if self.held > self.remembered:
             self.old, self.young, self.held = self.young, {}, 0
         return out
 
@@ -147,13 +147,13 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, remembered)
 
 
-def _encoded(path: str, column: str, names: list[str], keep: bool):
+def _encoded(path: str, column: str, names: list[str], keep: bool, remembered: int = REMEMBERED):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, remembered)
         library, digits = e.vocabulary.library, e.vocabulary.digits
         for batch in slices(batches, column):
             texts = [t or "" for t in batch.column(column).to_pylist()]
@@ -171,14 +171,16 @@ def _encoded(path: str, column: str, names: list[str], keep: bool):
     return run
 
 
-def encode_decode(docs: DataFrame, model: str, text: str = "text", keep: bool = True) -> DataFrame:
-    """docs without the text, with n_tokens, ids_sha256, decoded_sha256 and, if keep, ids and decoded; columns of these names give way."""
+def encode_decode(docs: DataFrame, model: str, text: str = "text", keep: bool = True, remembered: int = REMEMBERED) -> DataFrame:
+    """docs without the text, with n_tokens, ids_sha256, decoded_sha256 and, if keep, ids and decoded; columns of these names give way.
+
+    remembered: characters of encoded chunks that a worker keeps; it changes the time, not the result."""
     made = ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string", *["ids array<int>", "decoded string"] * keep]
     names = [x.split()[0] for x in made]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
     rest = [f for f in docs.schema.fields if f.name != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *made])
-    return docs.mapInArrow(_encoded(model, text, [*(f.name for f in rest), *names], keep), schema)
+    return docs.mapInArrow(_encoded(model, text, [*(f.name for f in rest), *names], keep, remembered), schema)
 
 
 def default_model() -> str:
@@ -189,4 +191,4 @@ def default_model() -> str:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_decode(docs, model or default_model(), keep=False)
+    return encode_decode(docs, model or default_model(), keep=False, remembered=8 * REMEMBERED)
