@@ -29,6 +29,20 @@ def merge_split(df: DataFrame, by: Sequence[str], order: str, header: str, n_col
     ).drop("_table")
 
 
+def merged_cells(tables: DataFrame, cells: DataFrame, by: Sequence[str], order: str, header: str, n_cols: str, n_rows: str) -> DataFrame:
+    """cells (row, col, text of a table at `order`) of merged tables: `first` (where the merged table began), row, col, text.
+
+    A part that repeats the header loses that row, and its other rows stand below all rows of the parts before."""
+    w = Window.partitionBy(*by).orderBy(order)
+    goes_on = F.coalesce((F.col(header) != "") & (F.lag(header).over(w) == F.col(header)) & (F.lag(n_cols).over(w) == F.col(n_cols)) & (F.lag(order).over(w) == F.col(order) - 1), F.lit(False))
+    parts = islands(tables.withColumn("_on", goes_on.cast("int")), by, [order], F.col("_on") == 0, "_table")
+    part = Window.partitionBy(*by, "_table").orderBy(order)
+    above = F.coalesce(F.sum(F.col(n_rows) - F.col("_on")).over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*by, order, "_on", above.alias("_above"), F.first(order).over(part).alias("first"))
+    met = cells.join(parts, [*by, order]).where(F.col("row") >= F.col("_on"))
+    return met.select(*by, "first", (F.col("row") + F.col("_above") - F.col("_on")).cast("int").alias("row"), "col", "text")
+
+
 def shape(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """cells (row, col, rowspan, colspan) -> n_rows, n_cols of each table."""
     return cells.groupBy(*by).agg(F.max(F.col("row") + F.col("rowspan")).alias("n_rows"), F.max(F.col("col") + F.col("colspan")).alias("n_cols"))

@@ -21,6 +21,7 @@ from lectern.operators.fold import fold_by_doc
 from lectern.plans.layout_queries import BOXES_SQL, boxes
 from lectern.plans.scalar_queries import HEADING_MAP, NAMED_STYLES, settings
 from lectern.sources import corpus as c
+from lectern.sources import documents
 from lectern.sources import target as tg
 from lectern.sources.files import format_of
 
@@ -694,3 +695,42 @@ def split_deck_tables(spark, d):
     widths = F.when(k % 4 != 0, F.concat(F.array((k % 4 / 2.0 + 1.0).cast("double")), F.array_repeat(F.lit(1.0), cols - 1)))
     rows = items(spark, d).select("doc_id", "pos", F.col("line").cast("int").alias("page"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("h"), (k % 2).cast("string"))).alias("header"), cols.alias("n_cols"), (k % 3 + 1).cast("int").alias("n_rows"), (k % 11 == 0).alias("titled"), widths.alias("widths"))
     return dr.merged_tables(rows, ["doc_id"], F.col("doc_id") % 2 == 0).select("doc_id", "first", "last", "n_rows", "parts")
+
+
+# Files: web pages packed as Word files, read back through the readers; some cut short, some of other formats.
+
+
+def packed(batches):
+    """Rows (doc_id, blocks) as path and content of a Word file."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pyarrow as pa
+
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    styles = "".join(f'<w:style w:styleId="{i}"><w:name w:val="{n}"/><w:pPr><w:outlineLvl w:val="{v}"/></w:pPr></w:style>' for i, n, v in (("T", "Title", 0), ("H", "heading 2", 1)))
+    marks = {"title": '<w:pStyle w:val="T"/>', "h1": '<w:pStyle w:val="H"/>', "li": '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr>'}
+    for batch in batches:
+        paths, contents = [], []
+        for page, blocks in zip(batch.column("doc_id").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
+            body = "".join(f'<w:p><w:pPr>{marks.get(b["tag"], "")}</w:pPr><w:r><w:t xml:space="preserve">{escape(b["text"])}</w:t></w:r></w:p>' for b in blocks)
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+                z.writestr("word/styles.xml", f'<w:styles xmlns:w="{space}">{styles}</w:styles>')
+            paths.append(f"p{page}.{'pdf' if page % 13 == 0 else 'docx'}")
+            contents.append(held.getvalue()[:60] if page % 17 == 0 else held.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+
+@query("file_outlines", f"""
+WITH {c.HTML_SQL}, b AS (SELECT doc_id, pos, tag, trim(regexp_replace(text, '[\\x00-\\x1F]', '', 'g')) AS text FROM html_blocks WHERE tag <> 'footer')
+SELECT 'p' || doc_id || CASE WHEN doc_id % 13 = 0 THEN '.pdf' ELSE '.docx' END AS path, CASE WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN NULL ELSE string_agg(CASE tag WHEN 'title' THEN '# ' WHEN 'h1' THEN '## ' WHEN 'li' THEN '- ' ELSE '' END || text, chr(10) ORDER BY pos) FILTER (WHERE text <> '') END AS outline,
+  doc_id % 13 = 0 OR doc_id % 17 = 0 AS failed FROM b GROUP BY doc_id""")
+def file_outlines(spark, d):
+    """Each page as a file, parsed and outlined; cut files and formats without a reader are error rows."""
+    text = F.trim(F.regexp_replace("text", "[\\x00-\\x1F]", ""))
+    blocks = c.html_blocks(spark, d).where("tag <> 'footer'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag", text.alias("text")))).alias("blocks"))
+    out = documents.outline(documents.blocks_of(blocks.mapInArrow(packed, "path string, content binary")))
+    return out.select("path", "outline", F.col("error").isNotNull().alias("failed"))

@@ -12,7 +12,7 @@ UNREAD = ("pdf",)
 
 
 def format_of(df: DataFrame, path: str) -> DataFrame:
-    """path, format, error: rejects are rows, so one bad file doesn't stop a run."""
+    """df with format and error: rejects are rows, so one bad file doesn't stop a run."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
     error = F.when(suffix.isin(*READERS), None).when(suffix.isin(*OLD), "old format").when(suffix.isin(*UNREAD), "no reader").otherwise("unknown format")
-    return df.select(path, F.when(suffix.isin(*READERS), suffix).alias("format"), error.alias("error"))
+    return df.withColumns({"format": F.when(suffix.isin(*READERS), suffix), "error": error})

@@ -244,14 +244,24 @@ def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def docx_rows(contents: DataFrame) -> DataFrame:
+    """Blocks of Word files given as path and content."""
+    return contents.select("path", "content").mapInPandas(_reader(lambda data: _tidied(list(docx_blocks(data))), BLOCKS), BLOCKS)
+
+
+def pptx_rows(contents: DataFrame) -> DataFrame:
+    """Shapes of slide files given as path and content, in the order of slides and of drawing; groups are laid out on the slide."""
+    return contents.select("path", "content").mapInPandas(_reader(pptx_shapes, SHAPES), SHAPES)
+
+
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of all Word files below a path."""
-    return files(spark, path, "*.docx").mapInPandas(_reader(lambda data: _tidied(list(docx_blocks(data))), BLOCKS), BLOCKS)
+    return docx_rows(files(spark, path, "*.docx"))
 
 
 def read_pptx(spark: SparkSession, path: str) -> DataFrame:
-    """Shapes of all slide files below a path, in the order of slides and of drawing; groups are laid out on the slide."""
-    return files(spark, path, "*.pptx").mapInPandas(_reader(pptx_shapes, SHAPES), SHAPES)
+    """Shapes of all slide files below a path."""
+    return pptx_rows(files(spark, path, "*.pptx"))
 
 
 def is_metafile(data):

@@ -67,3 +67,18 @@ def test_formats_and_metafiles(spark):
     rows = spark.createDataFrame([(bytes.fromhex("D7CDC69A00"),), (b"\x89PNG",), (bytes.fromhex("0100090000"),)], "data binary")
     assert [r[0] for r in rows.select(office.is_metafile(F.col("data"))).collect()] == [True, False, True]
     assert [r.error for r in format_of(spark.createDataFrame([("x.pdf",), ("x.doc",)], "path string"), "path").collect()] == ["no reader", "old format"]
+
+
+def test_files_of_all_kinds_become_outlines(spark, tmp_path):
+    from lectern.sources import documents
+
+    docx(tmp_path / "a.docx")
+    pptx(tmp_path / "b.pptx")
+    with zipfile.ZipFile(tmp_path / "c.docx", "w") as z:  # a package without a body
+        z.writestr("word/document.xml", f"<w:document {W}/>")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "e.pptx").write_bytes(b"PK")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in documents.outline(documents.read(spark, str(tmp_path))).collect()}
+    assert {k for k, r in rows.items() if r.error} == {"c.docx", "d.pdf", "e.pptx"} and rows["d.pdf"].error == "no reader"
+    assert rows["a.docx"].outline.split("\n") == ["# Title", "# One", "## Two", "bold it", "next", "  - item", "head", "a | b", "c", "pic"]
+    assert rows["b.pptx"].outline.split("\n") == ["# first", "  - in group", "h", "# second"]
