@@ -283,13 +283,13 @@ def split_tables(spark, d):
 WITH {PIPES_SQL}, t AS (SELECT doc_id, pos, cells, lower(trim(regexp_replace(array_to_string(cells, ' | '), '\\s+', ' ', 'g'))) AS header, len(cells) AS n_cols FROM p),
 b AS (SELECT *, coalesce(header <> '' AND lag(header) OVER w = header AND lag(n_cols) OVER w = n_cols AND lag(pos) OVER w = pos - 1, false) AS g FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 i AS (SELECT *, max(CASE WHEN NOT g THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS first FROM b),
-c AS (SELECT doc_id, first, pos, g, 0 AS row, unnest(cells) AS text, unnest(range(len(cells))) AS col FROM i UNION ALL SELECT doc_id, first, pos, g, 1, upper(unnest(cells)), unnest(range(len(cells))) FROM i)
+c AS (SELECT doc_id, first, pos, g, 0 AS row, unnest(cells) AS text, unnest(range(len(cells))) AS col FROM i UNION ALL SELECT doc_id, first, pos, g, 1, unnest(cells) || '!', unnest(range(len(cells))) FROM i)
 SELECT doc_id, CAST(first AS INTEGER) AS first, CAST(row + pos - first AS INTEGER) AS row, CAST(col AS INTEGER) AS col, text FROM c WHERE NOT (g AND row = 0)""")
 def split_table_cells(spark, d):
-    """The cells of split_tables after the merge; a table's second row is its first in capitals."""
+    """The cells of split_tables after the merge; a table's second row is its first, called out."""
     rows = pipe_rows(spark, d)
     tables = rows.select("doc_id", "pos", tb.header_key(F.col("cells")).alias("header"), F.size("cells").alias("n_cols"), F.lit(2).alias("n_rows"))
-    two = rows.select("doc_id", "pos", F.explode(F.array(F.struct(F.lit(0).alias("row"), F.col("cells").alias("cells")), F.struct(F.lit(1).alias("row"), F.transform("cells", F.upper).alias("cells")))).alias("r"))
+    two = rows.select("doc_id", "pos", F.explode(F.array(F.struct(F.lit(0).alias("row"), F.col("cells").alias("cells")), F.struct(F.lit(1).alias("row"), F.transform("cells", lambda x: F.concat(x, F.lit("!"))).alias("cells")))).alias("r"))
     cells = two.select("doc_id", "pos", "r.row", F.posexplode("r.cells").alias("col", "text"))
     return tb.merged_cells(tables, cells, ["doc_id"], "pos", "header", "n_cols", "n_rows")
 
