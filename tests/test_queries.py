@@ -89,3 +89,20 @@ def test_tables_go_on_only_where_the_whole_header_repeats(spark, tmp_path):
     assert [(r.first, r.last, r.header, r.n_cols, r.n_rows, r.parts) for r in rows] == [
         (0, 2, "act | section", 2, 4, 3), (3, 3, "act | part", 2, 2, 1), (4, 5, "act | b | c | d | e", 5, 3, 2), (7, 7, "act | b | c | d | e", 5, 2, 1),
     ]
+
+
+def test_letters_go_on_past_four(spark, tmp_path):
+    """The SQL spells four letters at most, up to 475254; word processors count on."""
+    def letters(n):
+        out = ""
+        while n > 0:
+            n, r = divmod(n - 1, 26)
+            out = chr(97 + r) + out
+        return out
+
+    keys = [e + i for e in (26, 702, 18278, 475254, 1200000, 12356630) for i in range(-7, 6)]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    rows = own()["letter_labels"](spark, str(tmp_path)).collect()
+    assert {r.p_partkey: r.letters for r in rows} == {k: letters(k + 1) for k in keys} and len(rows) == len(keys)
+    assert all(r.label == letters(r.p_partkey + 1) for r in rows if r.format == "lowerLetter")
+    assert all(r.label == letters(r.p_partkey + 1).upper() for r in rows if r.format == "upperLetter")
